@@ -191,7 +191,9 @@ def _name_file(file: Column) -> Column:
         & ~no_new
         & (F.substring(file["old_path"], 3, 1 << 30) != F.substring(file["new_path"], 3, 1 << 30))
     )
-    path = _bare_path(F.when(no_old | (renamed & ~no_new), file["new_path"]).otherwise(file["old_path"]))
+    path = let(
+        F.when(no_old | renamed, file["new_path"]).otherwise(file["old_path"]), _bare_path
+    )
     tag = (
         F.when(F.coalesce(deleted, F.lit(False)), V.TAG_DELETED)
         .when(F.coalesce(new_file, F.lit(False)), V.TAG_NEW)
@@ -205,16 +207,15 @@ def _name_file(file: Column) -> Column:
     return F.struct(
         path.alias("path"),
         tag.alias("tag"),
-        classify_path(path).alias("kind"),
+        let(F.lower(path), classify_path).alias("kind"),
         total("added").alias("added"),
         total("removed").alias("removed"),
         hunks.alias("hunks"),
     )
 
 
-def classify_path(path: Column) -> Column:
-    """noise, log, artifact or code, by the rules on lower-case paths."""
-    lower = F.lower(path)
+def classify_path(lower: Column) -> Column:
+    """noise, log, artifact or code, for a path in lower case."""
     folder = F.lit(False)
     for name in V.ARTIFACT_FOLDERS:
         folder = folder | lower.startswith(name)
