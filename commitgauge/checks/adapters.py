@@ -98,11 +98,16 @@ def file_changes_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diffs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as git diffs: changed lines, file kinds and states vary with the id."""
+    """Documents as git diffs: changed lines, file kinds and states vary with the id.
+
+    A line of text is a line of the diff; in every fifth document each word is one.
+    """
+    k = F.col("doc_id")
+    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "source", "lang", "text", F.split("text", "\n").alias("lines")
+        "doc_id", "source", "lang", "text",
+        F.when(k % 5 == 4, words).otherwise(F.split("text", "\n")).alias("lines"),
     )
-    k = F.col("doc_id")
 
     def body(line: Column, i: Column) -> Column:
         plain = F.get(F.array(F.lit("+"), F.lit("-"), F.lit(" ")), i % 3)
