@@ -1,8 +1,9 @@
 """Reading and condensing git diffs inside one row.
 
-A diff is split into files, a file into hunks, a hunk into lines, all as array
-columns of its own row. No step shuffles, so work grows with the text read and
-no commit, project or file can become a hot group.
+A diff is split into files and a file into hunks, as array columns of its own
+row. A hunk stays one text: its lines are counted and cut by byte search, and
+only split where a rule needs single lines. No step shuffles, so work grows with
+the text read and no commit, project or file can become a hot group.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from commitgauge import fixed_values as V
-from commitgauge.functions.text import WHITESPACE_RUN, rstrip, strip
+from commitgauge.functions.text import BLANK, WHITESPACE, rstrip, strip
 
 # (?d): only \n ends a line. Inside a hunk every line starts with ' ', '+', '-' or '\',
 # so these two can only match structure.
@@ -25,6 +26,9 @@ GIT_PATHS = r"\Adiff --git (a/[^\t\n]+) (b/[^\t\n]+)"
 ANY_PATHS = r"\Adiff --git ([^\t\n]+) ([^\t\n]+)"
 OLD_PATH = r"(?md)^--- ([^\t\n]+)"
 NEW_PATH = r"(?md)^\+\+\+ ([^\t\n]+)"
+# In the text of a hunk every line stands behind a line break.
+CHANGED_LINE = r"\n[-+\\]"
+FIRST_WORD_ADDED = rf"\n\+[{BLANK}]*+([^{WHITESPACE}]+)"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -40,17 +44,14 @@ def _extract(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def _without_last_newline(text: Column) -> Column:
-    return F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text)
+def occurrences(text: Column, needle: str) -> Column:
+    """How often ``needle``, which cannot overlap itself, is in ``text``."""
+    without = F.replace(text, F.lit(needle), F.lit(""))
+    return ((F.octet_length(text) - F.octet_length(without)) / len(needle)).cast("int")
 
 
-def _first(line: Column) -> Column:
-    return F.left(line, F.lit(1))
-
-
-def is_change(line: Column) -> Column:
-    """Anything but context; the no-newline mark counts as a change."""
-    return _first(line).isin("+", "-", "\\")
+def rstrip_lines(text: Column) -> Column:
+    return F.array_join(F.transform(F.split(text, "\n"), rstrip), "\n")
 
 
 def line_kind(line: Column) -> Column:
@@ -65,44 +66,55 @@ def line_kind(line: Column) -> Column:
 # ---- structure ----------------------------------------------------------------------
 
 
-def _read_hunk(text: Column) -> Column:
-    """Start and size on both sides as declared, and the lines up to those sizes."""
+def _read_hunk(chunk: Column) -> Column:
+    """Declared sizes, text below the header, and line counts of one hunk.
 
-    def number(group: int, default: int) -> Column:
-        return F.coalesce(_extract(text, HUNK_SIZES, group).try_cast("int"), F.lit(default))
+    The text keeps the line break of the header in front, so that every line
+    stands behind one and a hunk without lines is the empty text.
+    """
 
-    body = _without_last_newline(text)
-    added = F.regexp_count(body, F.lit("\n[+]"))
-    removed = F.regexp_count(body, F.lit("\n-"))
-    marks = F.regexp_count(body, F.lit(r"\n\\"))
-    lines = F.split(body, "\n")
-    # The header is the first element; slice needs a length of at least zero.
-    content = F.slice(lines, 2, F.size(lines))
-    return F.struct(
-        number(1, 0).alias("old_start"),
-        number(2, 1).alias("old_size"),
-        number(3, 0).alias("new_start"),
-        number(4, 1).alias("new_size"),
-        content.alias("lines"),
-        added.alias("added"),
-        removed.alias("removed"),
-        marks.alias("marks"),
-    )
+    def below_header(parts: Column) -> Column:
+        rest = F.coalesce(F.get(parts, 1), F.lit(""))
+        cut = F.when(rest.endswith("\n"), F.left(rest, F.length(rest) - 1)).otherwise(rest)
+        text = F.when(rest == "", "").otherwise(F.concat(F.lit("\n"), cut))
+        return F.struct(parts[0].alias("header"), text.alias("text"))
+
+    def measure(hunk: Column) -> Column:
+        def number(group: int, default: int) -> Column:
+            return F.coalesce(_extract(hunk["header"], HUNK_SIZES, group).try_cast("int"), F.lit(default))
+
+        return F.struct(
+            number(1, 0).alias("old_start"),
+            number(2, 1).alias("old_size"),
+            number(3, 0).alias("new_start"),
+            number(4, 1).alias("new_size"),
+            hunk["text"].alias("text"),
+            *_line_counts(hunk["text"]),
+        )
+
+    return let(let(F.split(chunk, "\n", 2), below_header), measure)
+
+
+def _line_counts(text: Column) -> list[Column]:
+    return [
+        occurrences(text, "\n").alias("size"),
+        occurrences(text, "\n+").alias("added"),
+        occurrences(text, "\n-").alias("removed"),
+        occurrences(text, "\n\\").alias("marks"),
+    ]
 
 
 def _declared_end(hunk: Column) -> Column:
     """How many lines reach the declared sizes; NULL when they never match."""
 
     def step(state: Column, line: Column) -> Column:
-        old = state["old"] + F.when(line.rlike(r"\A[+\\]"), 0).otherwise(1)
-        new = state["new"] + F.when(line.rlike(r"\A[-\\]"), 0).otherwise(1)
-        open_ = state["end"].isNull()
+        first = F.left(line, F.lit(1))
+        old = state["old"] + F.when(first.isin("+", "\\"), 0).otherwise(1)
+        new = state["new"] + F.when(first.isin("-", "\\"), 0).otherwise(1)
         reached = (old == hunk["old_size"]) & (new == hunk["new_size"])
+        end = F.coalesce(state["end"], F.when(reached, state["seen"] + 1))
         return F.struct(
-            old.alias("old"),
-            new.alias("new"),
-            (state["seen"] + 1).alias("seen"),
-            F.when(open_ & reached, state["seen"] + 1).otherwise(state["end"]).alias("end"),
+            old.alias("old"), new.alias("new"), (state["seen"] + 1).alias("seen"), end.alias("end")
         )
 
     start = F.struct(
@@ -111,34 +123,35 @@ def _declared_end(hunk: Column) -> Column:
         F.lit(0).alias("seen"),
         F.lit(None).cast("int").alias("end"),
     )
-    return F.aggregate(hunk["lines"], start, step)["end"]
+    return F.aggregate(hunk_lines(hunk), start, step)["end"]
 
 
 def _trim_hunk(hunk: Column) -> Column:
     """Cut text behind the declared sizes; a hunk that never reaches them is broken."""
-    size = F.size(hunk["lines"])
-    old = size - hunk["added"] - hunk["marks"]
-    new = size - hunk["removed"] - hunk["marks"]
+    old = hunk["size"] - hunk["added"] - hunk["marks"]
+    new = hunk["size"] - hunk["removed"] - hunk["marks"]
     exact = (old == hunk["old_size"]) & (new == hunk["new_size"])
 
-    def rebuilt(end: Column) -> Column:
-        kept = F.slice(hunk["lines"], 1, F.coalesce(end, F.lit(0)))
-        return F.struct(
-            hunk["old_start"].alias("old_start"),
-            hunk["old_size"].alias("old_size"),
-            hunk["new_start"].alias("new_start"),
-            hunk["new_size"].alias("new_size"),
-            F.when(exact, hunk["lines"]).otherwise(kept).alias("lines"),
-            F.when(exact, hunk["added"])
-            .otherwise(F.size(F.filter(kept, lambda x: x.startswith("+"))))
-            .alias("added"),
-            F.when(exact, hunk["removed"])
-            .otherwise(F.size(F.filter(kept, lambda x: x.startswith("-"))))
-            .alias("removed"),
-            (~exact & end.isNull()).alias("broken"),
+    starts = [hunk[n].alias(n) for n in ("old_start", "old_size", "new_start", "new_size")]
+    counts = [hunk[n].alias(n) for n in ("size", "added", "removed", "marks")]
+
+    def cut(end: Column) -> Column:
+        first = F.call_function("substring_index", hunk["text"], F.lit("\n"), end + 1)
+        return let(
+            F.when(end.isNotNull(), first).otherwise(""),
+            lambda kept: F.struct(
+                *starts, kept.alias("text"), *_line_counts(kept), end.isNull().alias("broken")
+            ),
         )
 
-    return let(F.when(~exact, _declared_end(hunk)), rebuilt)
+    whole = F.struct(*starts, hunk["text"].alias("text"), *counts, F.lit(False).alias("broken"))
+    return F.when(exact, whole).otherwise(let(_declared_end(hunk), cut))
+
+
+def hunk_lines(hunk: Column) -> Column:
+    """Lines of a hunk as an array."""
+    lines = F.split(hunk["text"], "\n")
+    return F.slice(lines, 2, F.size(lines))
 
 
 def _read_file(chunk: Column) -> Column:
@@ -250,11 +263,7 @@ def is_repetitive(hunk: Column) -> Column:
     A word with more than half of all words is the middle one after sorting, so
     only that one has to be counted.
     """
-    added = F.filter(hunk["lines"], lambda x: x.startswith("+"))
-    texts = F.transform(added, lambda x: strip(F.substring(x, 2, 1 << 30)))
-    words = F.transform(
-        F.filter(texts, lambda x: x != ""), lambda x: F.split(x, WHITESPACE_RUN, 2)[0]
-    )
+    words = F.regexp_extract_all(hunk["text"], F.lit(FIRST_WORD_ADDED), F.lit(1))
 
     def share(ordered: Column) -> Column:
         middle = F.get(ordered, (F.size(ordered) / 2).cast("int"))
@@ -268,67 +277,80 @@ def is_repetitive(hunk: Column) -> Column:
     ).otherwise(F.lit(False))
 
 
-def _fold(lines: Column, keep: int, note: str) -> Column:
+def _first_lines(hunk: Column, n: int) -> Column:
+    """First lines, each still behind a line break."""
+    return F.substring_index(hunk["text"], "\n", n + 1)
+
+
+def _last_lines(hunk: Column, n: int) -> Column:
+    return F.concat(F.lit("\n"), F.substring_index(hunk["text"], "\n", -n))
+
+
+def _fold(hunk: Column, keep: int, note: str) -> Column:
     """First and last ``keep`` lines around a note of how many are left out."""
-    size = F.size(lines)
     return F.concat(
-        F.transform(F.slice(lines, 1, keep), rstrip),
-        F.array(F.format_string(note, size - 2 * keep)),
-        F.transform(F.slice(lines, size - (keep - 1), F.lit(keep)), rstrip),
+        _first_lines(hunk, keep),
+        F.format_string("\n" + note, hunk["size"] - 2 * keep),
+        _last_lines(hunk, keep),
     )
 
 
-def _log_lines(hunk: Column) -> Column:
-    long = F.size(hunk["lines"]) > V.LONG_HUNK
-    return F.when(long, _fold(hunk["lines"], V.KEEP_LINES, V.SNIP_LOG)).otherwise(
-        F.transform(hunk["lines"], rstrip)
-    )
+def _log_text(hunk: Column) -> Column:
+    long = hunk["size"] > V.LONG_HUNK
+    return F.when(long, _fold(hunk, V.KEEP_LINES, V.SNIP_LOG)).otherwise(hunk["text"])
 
 
-def _code_lines(hunk: Column) -> Column:
-    lines = hunk["lines"]
-    size = F.size(lines)
-    long = size > V.LONG_HUNK
-    middle = F.slice(
-        lines, F.lit(V.KEEP_LINES + 1), F.greatest(F.lit(0), size - 2 * V.KEEP_LINES)
-    )
-    sparse = F.size(F.filter(middle, is_change)) < V.SPARSE_CHANGES
+def _code_text(hunk: Column) -> Column:
+    long = hunk["size"] > V.LONG_HUNK
+
+    def changed(text: Column) -> Column:
+        return F.regexp_count(text, F.lit(CHANGED_LINE))
+
+    outside = changed(_first_lines(hunk, V.KEEP_LINES)) + changed(_last_lines(hunk, V.KEEP_LINES))
+    inside = hunk["added"] + hunk["removed"] + hunk["marks"] - outside
     return (
-        F.when(is_repetitive(hunk), _fold(lines, V.KEEP_REPETITIVE, V.SNIP_REPETITIVE))
-        .when(long & ((size > V.HUGE_HUNK) | sparse), _fold(lines, V.KEEP_LINES, V.SNIP_BODY))
-        .otherwise(F.transform(lines, rstrip))
+        F.when(is_repetitive(hunk), _fold(hunk, V.KEEP_REPETITIVE, V.SNIP_REPETITIVE))
+        .when(
+            long & ((hunk["size"] > V.HUGE_HUNK) | (inside < V.SPARSE_CHANGES)),
+            _fold(hunk, V.KEEP_LINES, V.SNIP_BODY),
+        )
+        .otherwise(hunk["text"])
     )
 
 
-def _file_lines(file: Column) -> Column:
+def _texts(hunks: Column, text_of: Callable[[Column], Column]) -> Column:
+    """Shown text of each hunk, every line behind a line break."""
+    return F.transform(hunks, lambda h: rstrip_lines(text_of(h)))
+
+
+def _file_text(file: Column) -> Column:
+    """Shown text of a file, ending without a line break."""
     title = F.concat(F.lit(V.FILE_HEADER), file["path"], file["tag"])
     hunks = file["hunks"]
-    noise = F.array(F.concat(title, F.lit(V.NOISE_NOTE)))
-    artifact_title = F.array(
-        F.concat(title, F.format_string(V.ARTIFACT_NOTE, file["added"], file["removed"]))
-    )
-    shown = F.transform(
-        F.slice(F.get(hunks, 0)["lines"], 1, V.ARTIFACT_LINES),
-        lambda x: F.concat(F.lit(V.ARTIFACT_INDENT), rstrip(x)),
+    artifact_title = F.concat(title, F.format_string(V.ARTIFACT_NOTE, file["added"], file["removed"]))
+    shown = F.replace(
+        rstrip_lines(_first_lines(F.get(hunks, 0), V.ARTIFACT_LINES)),
+        F.lit("\n"),
+        F.lit("\n" + V.ARTIFACT_INDENT),
     )
     artifact = F.when(
-        F.size(hunks) > 0, F.concat(artifact_title, shown, F.array(F.lit(V.ARTIFACT_END)))
+        F.size(hunks) > 0, F.concat(artifact_title, shown, F.lit("\n" + V.ARTIFACT_END))
     ).otherwise(artifact_title)
+
+    def with_hunks(text_of: Callable[[Column], Column]) -> Column:
+        return F.array_join(F.concat(F.array(title), _texts(hunks, text_of)), "")
+
     return (
-        F.when(file["kind"] == "noise", noise)
+        F.when(file["kind"] == "noise", F.concat(title, F.lit(V.NOISE_NOTE)))
         .when(file["kind"] == "artifact", artifact)
-        .when(
-            file["kind"] == "log",
-            F.concat(F.array(title), F.flatten(F.transform(hunks, _log_lines))),
-        )
-        .otherwise(F.concat(F.array(title), F.flatten(F.transform(hunks, _code_lines))))
+        .when(file["kind"] == "log", with_hunks(_log_text))
+        .otherwise(with_hunks(_code_text))
     )
 
 
 def condensed_text(files: Column, limit: int = V.MAX_DIFF_CHARS) -> Column:
-    lines = F.flatten(F.transform(files, _file_lines))
     return let(
-        F.array_join(lines, "\n"),
+        F.array_join(F.transform(files, _file_text), "\n"),
         lambda text: F.when(
             F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(V.TOO_LONG_END))
         ).otherwise(text),

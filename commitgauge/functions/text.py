@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from commitgauge import fixed_values as V
 
-# Inside a character class, for splitting on runs of whitespace.
-WHITESPACE_RUN = "[" + V.PY_WHITESPACE + "]+"
+# The same whitespace as ranges for a character class, without and with the line break.
+BLANK = r"\t\x0b-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITESPACE = r"\n" + BLANK
+WHITESPACE_RUN = f"[{WHITESPACE}]+"
 NUMBER = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
 

@@ -34,7 +34,7 @@ def explode_diff_lines(df: DataFrame, diff: str = "diff_raw", keep: Sequence[str
         "file_no",
         "path",
         (F.col("hunk_no") + 1).alias("hunk_no"),
-        F.posexplode("hunk.lines").alias("line_no", "text"),
+        F.posexplode(D.hunk_lines(F.col("hunk"))).alias("line_no", "text"),
     )
     return lines.withColumns(
         {"line_no": F.col("line_no") + 1, "kind": D.line_kind(F.col("text"))}

@@ -44,10 +44,19 @@ def read_commits_csv(
     return _quoted_csv(spark, schema).csv(path)
 
 
-def read_library_tables(spark: SparkSession, base: str, schema: T.StructType = schemas.COMMITS) -> DataFrame:
-    """All per-library CSVs of a folder tree laid out as language/<prefix><library>.csv."""
-    rows = _quoted_csv(spark, schema).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.csv"
+def read_library_tables(
+    spark: SparkSession, base: str, schema: T.StructType = schemas.COMMITS, skip_unreadable: bool = False
+) -> DataFrame:
+    """All per-library CSVs of a folder tree laid out as language/<prefix><library>.csv.
+
+    An unreadable file, such as one with other columns, fails the job unless
+    ``skip_unreadable`` asks to go on without it.
+    """
+    rows = (
+        _quoted_csv(spark, schema)
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv")
+        .option("ignoreCorruptFiles", skip_unreadable)
     )
     parts = F.split(F.col("_metadata.file_path"), "/")
     return rows.csv(base).select(
@@ -57,9 +66,12 @@ def read_library_tables(spark: SparkSession, base: str, schema: T.StructType = s
     )
 
 
-def read_source_metadata(spark: SparkSession, base: str, schema: T.StructType = schemas.COMMITS) -> DataFrame:
+def read_source_metadata(
+    spark: SparkSession, base: str, schema: T.StructType = schemas.COMMITS, skip_unreadable: bool = False
+) -> DataFrame:
     """Commit id, entropy and churn of all libraries; other columns are not parsed out."""
-    return read_library_tables(spark, base, schema).select("commit_id", "entropy", "churn", "repo", "language")
+    rows = read_library_tables(spark, base, schema, skip_unreadable)
+    return rows.select("commit_id", "entropy", "churn", "repo", "language")
 
 
 def read_labels_csv(spark: SparkSession, path: str | list[str], names: Sequence[str] | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Column functions on literal values."""
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ def test_whitespace_constant_is_complete():
 
     found = {chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace()}
     assert set(V.PY_WHITESPACE) == found
+    assert {c for c in map(chr, range(0x3001)) if re.fullmatch(f"[{X.WHITESPACE}]", c)} == found
 
 
 def test_sanitize(spark):
