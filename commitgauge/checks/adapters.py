@@ -38,13 +38,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a stored table that lies in fewer splits than there are cores.
+
+    Large tables come in many splits and stay as they are; here it only moves
+    tables of one small file, whose text would otherwise be worked on by one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def settled(df: DataFrame, *columns: Column) -> DataFrame:
+    """Select computed columns so that later steps read them instead of computing them again."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def pick(values: tuple[str, ...], number: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(number, F.lit(len(values))).cast("int"))
 
 
-def commits_v(spark: SparkSession, sf_dir: str, stats: bool = False) -> DataFrame:
-    """Orders as commits. ``stats`` adds sizes from line items, at the price of a join."""
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "O"))
+def commits_v(spark: SparkSession, sf_dir: str, stats: bool = False, wide: bool = False) -> DataFrame:
+    """Orders as commits. ``stats`` adds sizes from line items, at the price of a join.
+
+    ``wide`` spreads a small orders table before work that is heavy per row.
+    """
+    orders = table(spark, sf_dir, "orders")
+    if wide:
+        orders = spread(orders, "o_orderkey")
+    orders = orders.where(F.col("o_orderstatus").isin("F", "O"))
     customers = table(spark, sf_dir, "customer")
     nations = table(spark, sf_dir, "nation")
     regions = table(spark, sf_dir, "region")
@@ -104,7 +125,7 @@ def diffs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     k = F.col("doc_id")
     words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id", "source", "lang", "text",
         F.when(k % 5 == 4, words).otherwise(F.split("text", "\n")).alias("lines"),
     )
@@ -153,7 +174,8 @@ def diffs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 31 == 7, F.lit(" \n"))
         .otherwise(F.concat(first, F.when(k % 3 == 0, second).otherwise("")))
     )
-    return docs.select(
+    return settled(
+        docs,
         k.cast("string").alias("commit_id"),
         F.when(k % 2 == 0, "c").otherwise("rust").alias("language"),
         F.col("source").alias("repo"),
@@ -165,7 +187,7 @@ def diffs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as hand-made labels with the usual flaws, all text."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
     k = F.col("doc_id")
     return docs.select(
         k.cast("string").alias("commit_id"),
@@ -185,7 +207,7 @@ def labels_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as predictions of an imperfect model."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
     c = F.col("n_chars")
     return docs.select(
         F.col("doc_id").cast("string").alias("commit_id"),
@@ -198,7 +220,7 @@ def model_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as final labels."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
     k = F.col("doc_id")
     return docs.select(
         k.cast("string").alias("commit_id"),
@@ -224,7 +246,7 @@ def votes_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits as classifier response lines with every kind of flaw."""
-    commits = commits_v(spark, sf_dir)
+    commits = commits_v(spark, sf_dir, wide=True)
     k = F.col("n")
     answer = F.concat(
         F.lit("{"),
@@ -260,7 +282,7 @@ def responses_v(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         )
     )
-    return commits.select(line.alias("value"))
+    return settled(commits, line.alias("value"))
 
 
 def packages_v(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -576,7 +576,7 @@ def holdout_split(spark, sf):
 @query
 def classify_documents(spark, sf):
     """A classifier trained on the labelled documents, applied to all of them."""
-    docs = V.table(spark, sf, "documents").select("doc_id", "text")
+    docs = V.spread(V.table(spark, sf, "documents"), "doc_id").select("doc_id", "text")
     known = V.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
     fitted = model.train_commit_classifier(docs.join(known, "doc_id"))
     return model.batch_classify(fitted, docs).select("doc_id", "predicted")
@@ -588,7 +588,7 @@ def classify_documents(spark, sf):
 @query
 def text_functions(spark, sf):
     """Column functions over whole documents."""
-    docs = V.table(spark, sf, "documents")
+    docs = V.spread(V.table(spark, sf, "documents"), "doc_id")
     k, text = F.col("doc_id"), F.col("text")
     framed = F.concat(F.lit("\r\n\t "), text, F.lit(" \r\n"))
     return docs.select(

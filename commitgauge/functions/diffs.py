@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from commitgauge import fixed_values as V
-from commitgauge.functions.text import BLANK, WHITESPACE, rstrip, strip
+from commitgauge.functions.text import BLANK, WHITESPACE, let, rstrip, strip
 
 # (?d): only \n ends a line. Inside a hunk every line starts with ' ', '+', '-' or '\',
 # so these two can only match structure.
@@ -31,11 +31,6 @@ CHANGED_LINE = r"\n[-+\\]"
 FIRST_WORD_ADDED = rf"\n\+[{BLANK}]*+([^{WHITESPACE}]+)"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _any_of(words: Sequence[str]) -> str:
     return "(?:" + "|".join(re.escape(w) for w in words) + ")"
 

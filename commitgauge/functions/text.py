@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,11 @@ WHITESPACE_RUN = f"[{WHITESPACE}]+"
 NUMBER = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     """Drop whitespace at both ends; ``trim`` alone only knows the space character."""
     return F.btrim(text, F.lit(V.PY_WHITESPACE))
@@ -37,9 +42,14 @@ def clean_text(text: Column) -> Column:
 def clean_reasoning(text: Column, max_words: int = V.REASONING_WORDS) -> Column:
     """One line; beyond ``max_words`` words only those words and an ellipsis."""
     line = F.replace(clean_text(text), F.lit("\n"), F.lit(" "))
-    words = F.split(line, WHITESPACE_RUN)
-    shortened = F.concat(F.array_join(F.slice(words, 1, max_words), " "), F.lit("..."))
-    return F.when(F.size(words) > max_words, shortened).otherwise(line)
+
+    def shortened(line: Column) -> Column:
+        # One word more than kept is enough to see that there are more; the rest stays unsplit.
+        words = F.split(line, WHITESPACE_RUN, max_words + 1)
+        kept = F.array_join(F.slice(words, 1, max_words), " ")
+        return F.when(F.size(words) > max_words, F.concat(kept, F.lit("..."))).otherwise(line)
+
+    return let(line, shortened)
 
 
 def normalize_label_category(raw: Column) -> Column:

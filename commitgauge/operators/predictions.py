@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from commitgauge import fixed_values as V
 from commitgauge.functions import answers as A
 from commitgauge.functions import text as X
-from commitgauge.functions.diffs import let
+from commitgauge.functions.text import let
 
 # The way to the answer text, outermost first.
 OBJECT_STEPS = ("$.response", "$.response.candidates[0].content")
