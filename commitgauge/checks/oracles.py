@@ -177,6 +177,7 @@ SELECT CAST(year(ts) AS INTEGER) AS year, coalesce(author, '<unknown>') AS autho
 FROM t WHERE ts IS NOT NULL GROUP BY ALL"""
 ORACLES["yearly_activity"] = f"""WITH {ACTIVITY}
 SELECT year, commits, maintainers, round(commits_per_maintainer, 6) AS commits_per_maintainer FROM activity"""
+ORACLES["activity_join"] = ORACLES["yearly_activity"]
 ORACLES["library_order"] = f"WITH {COMMITS} SELECT DISTINCT language, repo FROM commits"
 ORACLES["commits_in_window"] = f"""WITH {COMMITS}
 SELECT language, repo, count(*) AS n FROM commits

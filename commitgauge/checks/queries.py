@@ -205,6 +205,14 @@ def yearly_activity(spark, sf):
     return rounded(activity.yearly_activity(V.commits_v(spark, sf)), "commits_per_maintainer")
 
 
+@query
+def activity_join(spark, sf):
+    rows = V.commits_v(spark, sf)
+    maintainers = activity.maintainers_by_year(activity.author_year_counts(rows))
+    joined = activity.join_maintainers(activity.commits_by_year(rows), maintainers)
+    return rounded(joined, "commits_per_maintainer")
+
+
 @query
 def library_order(spark, sf):
     return activity.library_order(V.commits_v(spark, sf))
@@ -258,7 +266,7 @@ def author_rank_top(spark, sf):
 
 
 def author_years(spark, sf):
-    return activity.commits_by_author_year(V.commits_v(spark, sf))
+    return activity.author_year_counts(V.commits_v(spark, sf))
 
 
 @query

@@ -147,10 +147,15 @@ def commits_by_year(df: DataFrame) -> DataFrame:
     return count_by(df, "year", name="commits").orderBy("year")
 
 
-def commits_by_author_year(df: DataFrame, author: str = "author", *extra: str) -> DataFrame:
+def author_year_counts(df: DataFrame, author: str = "author", *extra: str) -> DataFrame:
     """Commits per author and year; pass the e-mail column as an extra key to keep it."""
     named = df.withColumn(author, X.fill_author(F.col(author)))
-    counts = count_by(named, "year", author, *extra, name="commits")
+    return count_by(named, "year", author, *extra, name="commits")
+
+
+def commits_by_author_year(df: DataFrame, author: str = "author", *extra: str) -> DataFrame:
+    """The counts of ``author_year_counts``, busiest authors of each year first."""
+    counts = author_year_counts(df, author, *extra)
     return counts.orderBy("year", F.desc("commits"), author, *extra)
 
 
@@ -159,14 +164,25 @@ def maintainers_by_year(author_years: DataFrame, author: str = "author") -> Data
 
 
 def yearly_activity(df: DataFrame, author: str = "author") -> DataFrame:
-    """Commits, maintainers and commits per maintainer of every year."""
-    author_years = count_by(df.withColumn(author, X.fill_author(F.col(author))), "year", author, name="n")
-    yearly = author_years.groupBy("year").agg(F.sum("n").alias("commits"))
-    joined = yearly.join(maintainers_by_year(author_years, author), "year", "left")
-    return joined.withColumn(
+    """Commits, maintainers and commits per maintainer of every year.
+
+    One row per year and author carries both figures, so the yearly counts and
+    the maintainers need no join by year.
+    """
+    yearly = author_year_counts(df, author).groupBy("year").agg(
+        F.sum("commits").alias("commits"), F.count(F.lit(1)).alias("maintainers")
+    )
+    return yearly.withColumn(
         "commits_per_maintainer", F.col("commits").cast("double") / F.col("maintainers")
     )
 
 
+def join_maintainers(by_year: DataFrame, maintainers: DataFrame) -> DataFrame:
+    """The same table from two stored yearly tables; years without maintainers stay."""
+    return by_year.join(maintainers, "year", "left").withColumn(
+        "commits_per_maintainer", F.try_divide(F.col("commits").cast("double"), F.col("maintainers"))
+    )
+
+
 def library_order(df: DataFrame) -> DataFrame:
     return df.select("language", "repo").distinct().orderBy("language", "repo")

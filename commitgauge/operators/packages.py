@@ -43,14 +43,15 @@ def degree_centrality(edges: DataFrame, src: str = "src", dst: str = "dst") -> D
         .groupBy("end.node")
         .agg(F.sum("end.n_in").alias("in_degree"), F.sum("end.n_out").alias("out_degree"))
     )
-    others = scalar(degrees, F.count(F.lit(1))) - 1
+    counted = degrees.withColumn("_others", scalar(degrees, F.count(F.lit(1))) - 1)
 
     def centrality(degree: str):
-        return F.when(others < 1, F.lit(1.0)).otherwise(F.try_divide(F.col(degree).cast("double"), others))
+        share = F.try_divide(F.col(degree).cast("double"), F.col("_others"))
+        return F.when(F.col("_others") < 1, F.lit(1.0)).otherwise(share)
 
-    return degrees.withColumns(
+    return counted.withColumns(
         {
             "in_degree_centrality": centrality("in_degree"),
             "out_degree_centrality": centrality("out_degree"),
         }
-    )
+    ).drop("_others")
