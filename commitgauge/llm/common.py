@@ -45,6 +45,11 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def computed(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """The columns `keep` and new ones, behind a generator: later filters and projections can't repeat their work."""
+    return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def plain_words(text: str | None) -> list[bytes]:
     """Words of a text as bytes, with A-Z in lower case; bytes know ASCII white space and letters only."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

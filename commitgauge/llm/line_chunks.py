@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commitgauge.llm.common import let, stored, words
+from commitgauge.llm.common import computed, let, stored, words
 
 
 def chunk_spans(text: Column, long_words: int) -> Column:
-    """Array of (start, length, worth) of a text's chunks; start from 1; worth: two lines or more, or a long line."""
+    """Array of (start, length, worth, h) of a text's chunks; start from 1; worth: two lines or more, or a long line."""
 
     def spans(lines: Column) -> Column:
         hashes = F.transform(lines, lambda x: F.md5(x))
@@ -44,6 +44,9 @@ def chunk_spans(text: Column, long_words: int) -> Column:
                                 (F.get(s, k) + 1).alias("start"),
                                 (F.get(s, k + 1) - F.get(s, k)).alias("length"),
                                 ((F.get(s, k + 1) - F.get(s, k) >= 2) | F.get(is_long, F.get(s, k))).alias("worth"),
+                                F.xxhash64(
+                                    _joined(lines, F.get(s, k) + 1, F.get(s, k + 1) - F.get(s, k))
+                                ).alias("h"),
                             ),
                         )
 
@@ -54,7 +57,12 @@ def chunk_spans(text: Column, long_words: int) -> Column:
             return F.when(
                 F.size(h) > 1, let(gaps, of_gaps)
             ).otherwise(
-                F.array(F.struct(F.lit(1).alias("start"), F.lit(1).alias("length"), F.get(long, 0).alias("worth")))
+                F.array(
+                    F.struct(
+                        F.lit(1).alias("start"), F.lit(1).alias("length"), F.get(long, 0).alias("worth"),
+                        F.xxhash64(text).alias("h"),
+                    )
+                )
             )
 
         return let(hashes, of_hashes)
@@ -62,8 +70,8 @@ def chunk_spans(text: Column, long_words: int) -> Column:
     return let(F.split(text, "\n"), spans)
 
 
-def _chunk_text(text: Column, start: Column, length: Column) -> Column:
-    return F.array_join(F.slice(F.split(text, "\n"), start, length), "\n")
+def _joined(lines: Column, start: Column, length: Column) -> Column:
+    return F.array_join(F.slice(lines, start, length), "\n")
 
 
 def repeated_chunks(docs: DataFrame, long_words: int = 50, label: str = "lines") -> DataFrame:
@@ -75,10 +83,8 @@ def repeated_chunks(docs: DataFrame, long_words: int = 50, label: str = "lines")
     rows that share an id are one document. The texts are shuffled once, by document.
     """
     sure = docs.filter("doc_id is not null and text is not null")
-    spans = sure.select("doc_id", "text", F.explode(F.filter(chunk_spans(F.col("text"), long_words), lambda s: s["worth"])).alias("s"))
-    hashed = spans.select(
-        "doc_id", "s.start", "s.length", F.xxhash64(_chunk_text(F.col("text"), F.col("s.start"), F.col("s.length"))).alias("h")
-    )
+    spans = F.filter(chunk_spans(F.col("text"), long_words), lambda s: s["worth"])
+    hashed = sure.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.start", "s.length", "s.h")
     hashed = stored(hashed, f"{label}-hashes")
     first = hashed.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
     met = hashed.join(first.filter("n > 1").select("h", "first"), "h")
@@ -92,11 +98,14 @@ def repeated_chunks(docs: DataFrame, long_words: int = 50, label: str = "lines")
         ).alias("met")
     )
     listed = stored(docs.join(lists, "doc_id", "left"), f"{label}-documents")
-    texts = listed.filter("met is not null").select("doc_id", "text", F.explode("met").alias("c"))
-    texts = texts.select(
-        "doc_id", "c.start", "c.h", "c.is_first",
-        _chunk_text(F.col("text"), F.col("c.start"), F.col("c.length")).alias("chunk"),
+    chunks = let(
+        F.split("text", "\n"),
+        lambda lines: F.transform(
+            "met",
+            lambda c: F.struct(c["start"], c["h"], c["is_first"], _joined(lines, c["start"], c["length"]).alias("chunk")),
+        ),
     )
+    texts = listed.filter("met is not null").select("doc_id", F.inline(chunks))
     keepers = texts.filter("is_first").select("h", F.col("chunk").alias("first_chunk")).dropDuplicates(["h"])
     other = stored(
         texts.filter("not is_first").join(keepers, "h").filter("chunk <> first_chunk").select("doc_id", "start", "chunk"),
@@ -127,7 +136,10 @@ def without(text: Column, removed: Column) -> Column:
 def deduplicated_documents(docs: DataFrame, long_words: int = 50) -> DataFrame:
     """The documents without repeated chunks, all columns of `documents`; one that keeps no word goes."""
     found = repeated_chunks(docs, long_words)
-    left = found.withColumn("text", without(F.col("text"), F.col("removed")))
+    left = computed(
+        found.withColumnRenamed("text", "whole"), "doc_id", "lang", "source", "n_chars", "removed",
+        text=without(F.col("whole"), F.col("removed")),
+    )
     left = left.filter((F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.select(
         "doc_id", "text", "lang", "source",

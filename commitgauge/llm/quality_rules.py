@@ -6,10 +6,12 @@ too much of its text that way is rejected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commitgauge.llm.common import let, words
+from commitgauge.llm.common import computed, let, words
 
 #: Phrases, in lower case, of lines that belong to a page and not to its text.
 BOILERPLATE = (
@@ -18,7 +20,7 @@ BOILERPLATE = (
     "share this", "follow us", "enable javascript", "lorem ipsum", "powered by",
 )
 #: How a line of prose ends, closing quotes and brackets apart; marks that no prose puts in rows.
-LINE_END = r"[.!?:;,…。！？]['\"”’»)\]]*$"
+LINE_END = r"[.!?:;,…。！？]['\"”’»)\]]*[\x20\x09-\x0D]*$"
 MARKS = r"[#*$%&|<>!]{2,}"
 #: Separators of menus and tables, as words of their own.
 SEPARATORS = ("|", "»", "«", ">", "<", "·", "•", "/", "::", "→")
@@ -65,18 +67,16 @@ def repeated_words(found: Column, width: int = 5) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line that holds a word fails a rule: punctuation, navigation or boilerplate."""
-    n = F.size(words(line))
-    menu = F.size(F.filter(words(line), lambda w: w.isin(*SEPARATORS)))
-    text = F.lower(line)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | text.contains(phrase)
-    return (
-        ~F.rtrim(F.regexp_replace(line, r"[\x09-\x0D]+", " ")).rlike(LINE_END)
-        | (F.regexp_count(line, F.lit(MARKS)) * 10 > n * 3)
-        | (menu * 4 >= n - menu) & (menu > 0)
-        | boilerplate
-    )
+
+
+    def shape(w: Column) -> Column:
+        menu = F.size(F.filter(w, lambda x: x.isin(*SEPARATORS)))
+        return (F.regexp_count(line, F.lit(MARKS)) * 10 > F.size(w) * 3) | (menu * 4 >= F.size(w) - menu) & (menu > 0)
+
+    def boilerplate(lower: Column) -> Column:
+        return reduce(lambda a, b: a | b, (lower.contains(p) for p in BOILERPLATE))
+
+    return ~line.rlike(LINE_END) | let(words(line), shape) | let(F.lower(line), boilerplate)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_lost: float = 0.3) -> DataFrame:
@@ -88,35 +88,48 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mos
     lines hold more than `most_lost` of the words. A missing, empty or blank text has no words and is rejected; its
     clean_text is empty. A missing id stays missing. Repeated rows are judged alike. Other columns are ignored.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    base = base.withColumn("w", words(F.col("text"))).withColumn("lines", F.split("text", "\n"))
-    real = F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    judged = base.select(
+    long = lambda c: c.cast("long")
+
+    def judged(text: Column, w: Column, lines: Column, real: Column, fails: Column) -> Column:
+        lost = F.aggregate(F.filter(lines, lambda x, i: F.get(fails, i)), F.lit(0), lambda n, x: n + F.size(words(x)))
+        left = F.array_join(F.filter(lines, lambda x, i: ~F.get(fails, i)), "\n")
+        return F.struct(
+            long(F.size(w)).alias("n_words"),
+            long(F.length(F.array_join(w, ""))).alias("word_chars"),
+            long(F.regexp_count(text, F.lit(SYMBOLS))).alias("n_symbols"),
+            long(F.size(real) - F.size(F.array_distinct(real))).alias("n_dup_lines"),
+            repeated_words(w).alias("n_repeat_words"),
+            long(lost).alias("words_lost"),
+            F.when(F.exists(fails, lambda x: x), left).otherwise(text).alias("clean_text"),
+        )
+
+    def has_word(line: Column) -> Column:
+        return line.rlike(r"[^\x20\x09-\x0D]")
+
+    def of_text(text: Column) -> Column:
+        return let(
+            words(text),
+            lambda w: let(
+                F.split(text, "\n"),
+                lambda lines: let(
+                    F.filter(lines, has_word),
+                    lambda real: let(
+                        F.transform(lines, lambda x: has_word(x) & line_fails(x)),
+                        lambda fails: judged(text, w, lines, real, fails),
+                    ),
+                ),
+            ),
+        )
+
+    found = computed(
+        docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")),
         "doc_id",
-        "text",
-        F.size("w").cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        let(real, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("w")).alias("n_repeat_words"),
-        "lines",
-        F.transform("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x)).alias("fails"),
-    )
-    lost = F.aggregate(
-        F.filter("lines", lambda x, i: F.get("fails", i)),
-        F.lit(0).cast("long"),
-        lambda n, x: n + F.size(words(x)),
-    )
-    cleaned = F.when(
-        F.exists("fails", lambda x: x), F.array_join(F.filter("lines", lambda x, i: ~F.get("fails", i)), "\n")
-    ).otherwise(F.col("text"))
+        j=of_text(F.col("text")),
+    ).select("doc_id", "j.*")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    judged = judged.withColumn("base_failed", failed).withColumn("words_lost", lost).withColumn("clean_text", cleaned)
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "words_lost",
-        (~F.col("base_failed") & (F.col("words_lost") <= most_lost * F.col("n_words"))).alias("kept"),
-        "clean_text",
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        "words_lost", (~failed & (F.col("words_lost") <= most_lost * F.col("n_words"))).alias("kept"), "clean_text",
     )
 
 

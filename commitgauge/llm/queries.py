@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commitgauge.llm import line_chunks, mixing, quality_rules
-from commitgauge.llm.common import read_table, shared_folder, stored
+from commitgauge.llm.common import computed, read_table, shared_folder, stored
 from commitgauge.llm.language_model import language_scores
 from commitgauge.llm.minhash_dedup import near_duplicates
 from commitgauge.llm.neighbours import search
@@ -62,14 +62,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_chunks.repeated_chunks(read_table(spark, sf_dir, "documents"))
     left = line_chunks.without(F.col("text"), F.col("removed"))
+    found = computed(found, "doc_id", "text", "removed", left=left)
     lines = F.aggregate("removed", F.lit(0).cast("long"), lambda n, c: n + c["length"])
     return found.select(
         "doc_id",
         F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
         F.size("removed").cast("long").alias("removed_chunks"),
         lines.alias("removed_lines"),
-        F.length(left).cast("long").alias("chars_left"),
-        F.md5(left).alias("clean_md5"),
+        F.length("left").cast("long").alias("chars_left"),
+        F.md5("left").alias("clean_md5"),
     )
 
 
