@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commitgauge.llm import line_chunks, mixing, quality_rules
@@ -81,19 +81,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", F.coalesce(_fold(3) == 1, F.lit(False)))
 
 
-#: The tables hold no findings with a verdict. These are labelled by their form: a provider's prefix, or a value without
-#: a dictionary word that is assigned to the name of a credential, is a secret; digits alone are not, nor is what
-#: neither has such a name near nor such a prefix.
-FINDING_LABEL = (
-    F.when((F.col("known_prefix") == 1) & (F.col("length") >= 16), 1.0)
-    .when((F.col("credential_near") == 1) & (F.col("assigned") == 1) & (F.col("coverage") < 0.5), 1.0)
-    .when(F.col("digit_share") == 1, 0.0)
-    .when(F.col("credential_near") == 0, 0.0)
-)
+def finding_label() -> Column:
+    """The tables hold no findings with a verdict. These are labelled by their form: a provider's prefix, or a value
+    without a dictionary word that is assigned to the name of a credential, is a secret; digits alone are not, nor is
+    what has neither such a name near nor such a prefix."""
+    return (
+        F.when((F.col("known_prefix") == 1) & (F.col("length") >= 16), 1.0)
+        .when((F.col("credential_near") == 1) & (F.col("assigned") == 1) & (F.col("coverage") < 0.5), 1.0)
+        .when(F.col("digit_share") == 1, 0.0)
+        .when(F.col("credential_near") == 0, 0.0)
+    )
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(read_table(spark, sf_dir, "documents"), FINDING_LABEL, F.coalesce(_fold(3) != 1, F.lit(True)))
+    found = scan(read_table(spark, sf_dir, "documents"), finding_label(), F.coalesce(_fold(3) != 1, F.lit(True)))
     return found.withColumn("value_md5", F.md5("value")).drop("value")
 
 

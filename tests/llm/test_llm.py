@@ -1,0 +1,306 @@
+"""Operators for training data: edge cases, brute force, exact round trips, held-out accuracy, and the SQL checks."""
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from commitgauge.checks.compare import connect, differences
+from commitgauge.llm import (
+    graph, language_model, line_chunks, minhash_dedup, mixing, neighbours, packing, quality_rules, secret_scan,
+    token_counts, toxicity,
+)
+from commitgauge.llm.common import plain_words, shared_folder
+from commitgauge.llm.oracles import ORACLES
+from commitgauge.llm.queries import QUERIES
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string"
+LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000)) + "."
+EDGES = [
+    (1, None, "en", "a", None, "clash"), (2, "", None, None, 0, None), (3, " \n\t ", "de", "b", 4, None),
+    (4, "One two.", "en", "a", 8, None), (5, "one  TWO.", "en", "a", 9, None), (6, LONG, "en", "a", None, None),
+    (6, LONG, "en", "a", None, None), (None, "Text without an id, of quite a few words in one line.", "en", None, 1, ""),
+    (7, "é–　ß 😀 a b", "xx", "\U0001f600", 3, None), (1 << 60, "A large id that no float can hold, plus one.", "en", "b", 2, None),
+]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return spark.createDataFrame(EDGES, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas()
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    return connect(sf_dir)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, con, sf_dir, name):
+    assert differences(spark, con, QUERIES[name], ORACLES[name], sf_dir) == []
+
+
+def groups(rows):
+    """Brute force: smallest id reachable over links of full sets."""
+    sets = [(i, minhash_dedup.shingles(plain_words(t), 5)) for i, t in rows]
+    parent = {i: i for i, _ in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[:k]:
+            both = len(x & y)
+            if both and 100 * both >= 75 * (len(x) + len(y) - both):
+                lo, hi = sorted((root(a), root(b)))
+                parent[hi] = lo
+    return {i: root(i) for i in parent}
+
+
+def test_near_duplicates_match_brute_force(spark, documents):
+    rng = np.random.default_rng(1)
+    base = [f"word{i}" for i in range(150)]
+    made = []
+    for k in range(120):  # a group whose members differ from each other by more than from their base
+        words = list(base)
+        for at in rng.integers(0, 150, k % 12):
+            words[at] = f"other{k}at{at}"
+        made.append((10_000 + k, " ".join(words)))
+    rows = list(zip(documents.doc_id.tolist(), documents.text)) + made
+    found = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert dict(zip(found.doc_id, found.component_id)) == groups(rows)
+    assert (found.kept == (found.doc_id == found.component_id)).all()
+
+
+def test_near_duplicates_edges(edges, empty):
+    found = minhash_dedup.near_duplicates(edges).collect()
+    assert len(found) == len(EDGES) and minhash_dedup.near_duplicates(empty).count() == 0
+    by_id = {r.doc_id: r for r in found}
+    assert [by_id[i].n_shingles for i in (1, 2, 3, 4, 5)] == [0, 0, 0, 1, 1]
+    assert by_id[5].component_id == 4 and not by_id[5].kept and by_id[1].kept and by_id[None].component_id is None
+    assert by_id[1 << 60].component_id == 1 << 60
+
+
+def test_bayes_bound_keeps_what_may_reach_the_threshold():
+    assert minhash_dedup.least_matches(48, 0.75, 1e-6) < 48 * 0.75
+    assert minhash_dedup.least_matches(240, 0.75, 1e-6) / 240 > minhash_dedup.least_matches(48, 0.75, 1e-6) / 48
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 95), (95, 90), (7, 7)], "a long, b long")
+    assert {r.node: r.component for r in graph.components(edges).collect()} == {**dict.fromkeys(range(41), 0), 90: 90, 95: 90}
+
+
+def test_quality_rules(spark, edges, empty):
+    good = "A sentence of prose that ends as prose should end, with a stop."
+    text = "\n".join([good, "Home | About | Contact", "All rights reserved by nobody.", "no end here"] + [good + " More of it."] * 1)
+    rows = [(1, text), (2, "\n".join([good] * 3 + ["Home | About"])), (3, "spam " * 40)]
+    found = {r.doc_id: r for r in quality_rules.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].words_lost == 13 and found[1].clean_text == good + "\n" + good + " More of it."
+    assert found[2].n_dup_lines == 2 and found[3].n_repeat_words == 40 and found[3].base_failed and not found[3].kept
+    assert quality_rules.quality(empty).count() == 0
+    assert [r.n_words for r in quality_rules.quality(edges).orderBy("doc_id").collect()][1:4] == [0, 0, 0]
+
+
+def test_mixing_meets_its_targets(spark, edges, empty):
+    rows = [(i, "w " * (1 + i % 7), "abc"[i % 3] if i % 50 else None) for i in range(600)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert (found.taken <= 3 * found["size"]).all()
+    by = found.groupby("source", dropna=False).agg(target=("target", "first"), taken=("taken", "sum"), size=("size", "sum"))
+    assert (abs(by.target - by.taken) <= 0.5).all() and abs(by.target.sum() - by["size"].sum()) < 1e-6
+    assert mixing.mix(edges).count() == len(EDGES) and mixing.mix(empty).count() == 0
+    assert mixing.mixed_documents(empty).count() == 0
+
+
+def test_mixed_documents_hold_the_words_taken(spark):
+    rows = [(i, "w " * (1 + i % 7), "en", "ab"[i % 4 == 0], 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = mixing.mix(docs).agg(F.sum("taken")).first()[0]
+    assert mixing.mixed_documents(docs).agg(F.sum(F.size(F.filter(F.split("text", " "), lambda w: w != "")))).first()[0] == taken
+
+
+def brute_chunks(rows, long_words=50):
+    """Chunks in plain Python; repeated ones by their very text."""
+    import hashlib
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows):
+        lines = text.split("\n")
+        h, long = [md5(x) for x in lines], [len(x.encode().split()) >= long_words for x in lines]
+        g = [None] + [md5(h[i - 1] + h[i]) for i in range(1, len(lines))]
+        cuts = [0] + [
+            i for i in range(1, len(lines))
+            if long[i - 1] or long[i] or (1 < i < len(lines) - 1 and g[i] < g[i - 1] and g[i] < g[i + 1])
+        ] + [len(lines)]
+        left = []
+        for a, b in zip(cuts, cuts[1:]):
+            chunk = "\n".join(lines[a:b])
+            if (b - a >= 2 or long[a]) and chunk in seen:
+                continue
+            if b - a >= 2 or long[a]:
+                seen.add(chunk)
+            left += lines[a:b]
+        out[doc_id] = "\n".join(left)
+    return out
+
+
+def test_line_chunks_match_brute_force(spark, documents, edges, empty):
+    rows = list(zip(documents.doc_id.tolist(), documents.text))
+    found = line_chunks.repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = found.select("doc_id", line_chunks.without(F.col("text"), F.col("removed")).alias("t")).collect()
+    assert {r.doc_id: r.t for r in left} == brute_chunks(rows)
+    assert line_chunks.repeated_chunks(edges).count() == len(EDGES) and line_chunks.repeated_chunks(empty).count() == 0
+
+
+def test_line_chunks_find_a_shifted_passage(spark):
+    passage = "\n".join(f"Line {i} of a passage that moves." for i in range(12))
+    rows = [(k, "\n".join([f"Own line {k} {i}." for i in range(k)] + [passage, f"End {k}."])) for k in range(1, 5)]
+    found = line_chunks.repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string"))
+    n = {r.doc_id: sum(c.length for c in r.removed) for r in found.collect()}
+    assert n[1] == 0 and min(n[k] for k in (2, 3, 4)) >= 4
+
+
+def test_packing_round_trip(spark, documents, edges, empty):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    rows = list(zip(documents.doc_id.tolist(), documents.text)) + [(5_000, "a <|endoftext|> b"), (5_001, None)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), group_pieces=64).toPandas()
+    tokens = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    for doc_id, text in rows:
+        ids = np.array(tokens.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        mine = found[found.doc_id == doc_id].sort_values("start")
+        assert mine.start.tolist() == [0, *mine.length.cumsum().tolist()[:-1]] and mine.length.sum() == len(ids)
+        assert all(zlib.crc32(ids[s : s + n].tobytes()) == c for s, n, c in zip(mine.start, mine.length, mine.ids_crc32))
+    for _, seq in found.sort_values("offset").groupby("sequence_id"):
+        assert seq.offset.tolist() == [0, *seq.length.cumsum().tolist()[:-1]] and seq.length.sum() <= 1024
+    assert packing.pack(empty).count() == 0 and packing.pack(edges).filter("doc_id is null").count() == 1
+
+
+def test_first_fit_matches_a_plain_search():
+    lengths = np.sort(np.random.default_rng(2).integers(1, 1025, 500))[::-1]
+    room, want = [], []
+    for n in lengths:
+        at = next((i for i, r in enumerate(room) if r >= n), len(room))
+        room += [1024] * (at == len(room))
+        want.append(at)
+        room[at] -= n
+    assert packing.first_fit_decreasing(lengths, 1024)[0].tolist() == want
+
+
+def test_neighbours_reach_recall_and_exact_scores(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 24)).astype(np.float32)
+    x[1000:1040] = x[0]  # ties
+    rows = [(i, [float(v) for v in x[i]]) for i in range(2000)]
+    rows += [(5000, None), (5050, [0.0] * 24), (5100, [float("nan")] * 24), (5150, [1.0]), (None, [1.0] * 24)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = neighbours.search(table, F.col("vec_id") % 50 == 0, parts=16, visit=11).toPandas()
+    u, hits = neighbours.unit(x), 0
+    for q in range(0, 2000, 50):
+        near = (u * u[q]).sum(axis=1)
+        near[q] = -9
+        best = np.lexsort((np.arange(2000), -near))[:5]
+        mine = found[found.query_id == q].sort_values("rank")
+        assert np.allclose(mine.score, near[mine.vec_id], atol=1e-14) and mine["rank"].tolist() == [1, 2, 3, 4, 5]
+        hits += len(set(best) & set(mine.vec_id))
+    assert hits / 200 >= 0.9 and found.query_id.max() < 5000
+    assert found[found.query_id == 0].sort_values("rank").vec_id.tolist() == [1000, 1001, 1002, 1003, 1004]
+    assert neighbours.search(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_toxicity_learns_words_and_pairs(spark, edges, empty):
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(1500):
+        kind = i % 6  # an insult alone, a group alone, both, or neither
+        words = [f"n{n}" for n in rng.integers(0, 80, 30)] + ["insult"] * (kind in (0, 2)) + ["group"] * (kind in (1, 2))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(kind == 2)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = toxicity.toxicity(docs, known, F.col("doc_id") % 5 != 0).filter("doc_id % 5 = 0").toPandas()
+    assert ((found.doc_id % 6 == 2) == (found.predicted == 1)).mean() > 0.97
+    assert toxicity.toxicity(edges, known.limit(0), F.lit(True)).filter("score between 0 and 1").count() == len(EDGES)
+    assert toxicity.toxicity(empty, known, F.lit(True)).count() == 0
+
+
+def test_language_model_counts_and_normalises(spark, documents, edges, empty):
+    rows = list(zip(documents.doc_id.tolist(), documents.text))
+    learns = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    may_learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    found = language_model.language_scores(docs, may_learn, shortlist=500).toPandas().set_index("doc_id")
+    c = Counter(w for i, t in rows if i in learns for w in [*plain_words(t), b" end"])
+    total, distinct = sum(c.values()), len(c)
+    for i, t in rows:
+        words = [*plain_words(t), b" end"]
+        want = sum(math.log10((c[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in words)
+        row = found.loc[i]
+        assert abs(row.base_score - want) < 1e-6 and row.n_tokens == len(words) and row.n_known == sum(c[w] > 0 for w in words)
+    assert (found.train_tokens == total).all() and found.score.sum() > found.base_score.sum()
+    assert language_model.language_scores(edges, F.lit(True)).count() == len(EDGES)
+    assert language_model.language_scores(empty, F.lit(True)).count() == 0
+
+
+def test_class_probabilities_sum_to_one():
+    rng = np.random.default_rng(0)
+    p = language_model.initial(20, 4, 1, np.full(20, 0.05))
+    p = [a + rng.normal(0, 1, a.shape).astype(np.float32) for a in p]
+    z = language_model.log_normalisers(p)
+    for one, two in ((0, 3), (20, 20), (7, 19)):
+        q = p[0][one] + p[1][two]
+        assert np.exp(p[2] @ q + p[3] - z[one, two]).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_rollups_are_idempotent(spark, tmp_path):
+    change = "doc_id long, op string, source string, lang string, tokenizer string, n_tokens long"
+    store = token_counts.Rollups(spark, str(tmp_path / "rollups"))
+    first = spark.createDataFrame([(1, "insert", "a", "en", "t", 5), (2, "insert", "a", "en", "t", 7), (None, "insert", "a", "en", "t", 9), (3, "insert", None, None, "t", 1)], change)
+    second = spark.createDataFrame([(1, "delete", None, None, None, None), (2, "revise", "b", "en", "t", 8), (2, "revise", "b", "en", "t", 8), (9, "delete", None, None, "t", None), (4, "other", "a", "en", "t", 3)], change)
+    assert store.commit("1", first) and store.commit("2", second) and not store.commit("2", second) and not store.commit("1", first)
+    assert {(r.source, r.n_docs, r.n_tokens) for r in store.totals().collect()} == {("b", 1, 8), (None, 1, 1)}
+    assert token_counts.Rollups(spark, str(tmp_path / "none")).totals().count() == 0
+
+
+def test_secrets_are_found_and_look_alikes_left(spark, edges, empty):
+    rng = np.random.default_rng(8)
+    hexa = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    rows = []
+    for i in range(300):
+        line = (f'token = "{hexa(40)}"', f"commit {hexa(40)}", f"card {4000 + i}123412341234", f"password={hexa(18)}")[i % 4]
+        rows.append((i, f"Some words before {line} and some after.", "src/app.cfg"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    label = F.when(F.col("doc_id") % 4 == 0, 1.0).when(F.col("doc_id") % 4 == 3, 1.0).otherwise(0.0)
+    found = secret_scan.scan(docs, label, F.col("doc_id") % 3 != 0).filter("doc_id % 3 = 0").toPandas()
+    assert len(found) == 100 and (found.is_secret == found.doc_id.mod(4).isin([0, 3])).all()
+    assert secret_scan.scan(empty, label, F.lit(True)).count() == 0
+    assert secret_scan.scan(edges, F.lit(None).cast("double"), F.lit(True)).filter("is_secret").count() == 0
+
+
+def test_pipeline_stages(spark, sf_dir, empty):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = corpus_pipeline.quality(spark, docs, sf_dir)
+    assert kept.columns == list(corpus_pipeline.COLUMNS) and 0 < kept.count() < docs.count()
+    plain = empty.drop("score")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, plain, sf_dir).count() == 0, name
+    rows = corpus_pipeline.run(spark, sf_dir)
+    filled = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    assert filled.filter("n > 1024").count() == 0 and rows.count() > 0
+    assert shared_folder(spark)
