@@ -38,16 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a stored table that lies in fewer splits than there are cores.
-
-    Large tables come in many splits and stay as they are; here it only moves
-    tables of one small file, whose text would otherwise be worked on by one core.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def settled(df: DataFrame, *columns: Column) -> DataFrame:
     """Select computed columns so that later steps read them instead of computing them again."""
     return df.select(F.inline(F.array(F.struct(*columns))))
@@ -57,15 +47,9 @@ def pick(values: tuple[str, ...], number: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(number, F.lit(len(values))).cast("int"))
 
 
-def commits_v(spark: SparkSession, sf_dir: str, stats: bool = False, wide: bool = False) -> DataFrame:
-    """Orders as commits. ``stats`` adds sizes from line items, at the price of a join.
-
-    ``wide`` spreads a small orders table before work that is heavy per row.
-    """
+def commits_v(spark: SparkSession, sf_dir: str, stats: bool = False) -> DataFrame:
+    """All orders as commits. ``stats`` adds sizes from line items, at the price of a join."""
     orders = table(spark, sf_dir, "orders")
-    if wide:
-        orders = spread(orders, "o_orderkey")
-    orders = orders.where(F.col("o_orderstatus").isin("F", "O"))
     customers = table(spark, sf_dir, "customer")
     nations = table(spark, sf_dir, "nation")
     regions = table(spark, sf_dir, "region")
@@ -78,7 +62,7 @@ def commits_v(spark: SparkSession, sf_dir: str, stats: bool = False, wide: bool
     category = F.element_at(categories, F.col("o_orderpriority"))
     columns = [
         F.col("o_orderkey").cast("string").alias("commit_id"),
-        F.when(F.col("o_orderstatus") == "F", "c").otherwise("rust").alias("language"),
+        F.when(F.col("o_orderkey") % 2 == 0, "c").otherwise("rust").alias("language"),
         F.replace("n_name", F.lit("_"), F.lit("-")).alias("repo"),
         F.when(F.col("r_name") != "MIDDLE EAST", F.col("r_name")).alias("domain"),
         F.when(F.col("o_custkey") % 97 != 0, F.col("c_name")).alias("author"),
@@ -125,7 +109,7 @@ def diffs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     k = F.col("doc_id")
     words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", "lang", "text",
         F.when(k % 5 == 4, words).otherwise(F.split("text", "\n")).alias("lines"),
     )
@@ -187,7 +171,7 @@ def diffs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as hand-made labels with the usual flaws, all text."""
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     k = F.col("doc_id")
     return docs.select(
         k.cast("string").alias("commit_id"),
@@ -207,7 +191,7 @@ def labels_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as predictions of an imperfect model."""
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     c = F.col("n_chars")
     return docs.select(
         F.col("doc_id").cast("string").alias("commit_id"),
@@ -220,7 +204,7 @@ def model_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as final labels."""
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     k = F.col("doc_id")
     return docs.select(
         k.cast("string").alias("commit_id"),
@@ -246,7 +230,7 @@ def votes_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits as classifier response lines with every kind of flaw."""
-    commits = commits_v(spark, sf_dir, wide=True)
+    commits = commits_v(spark, sf_dir)
     k = F.col("n")
     answer = F.concat(
         F.lit("{"),
@@ -303,7 +287,7 @@ def edges_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def package_docs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Community figures of packages, gaps included."""
-    return table(spark, sf_dir, "part").where(F.col("p_partkey") % 3 != 0).select(
+    return table(spark, sf_dir, "part").select(
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("package"),
         F.when(F.col("p_partkey") % 5 != 0, F.col("p_size").cast("long")).alias("stars"),
         F.when(F.col("p_partkey") % 7 != 0, F.col("p_size").cast("long") * 2).alias("forks"),

@@ -30,7 +30,7 @@ PRIORITIES = " ".join(f"WHEN {text(k)} THEN {text(v)}" for k, v in A.PRIORITY_CA
 
 COMMITS = f"""commits AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS commit_id,
-         CASE o_orderstatus WHEN 'F' THEN 'c' ELSE 'rust' END AS language,
+         CASE WHEN o_orderkey % 2 = 0 THEN 'c' ELSE 'rust' END AS language,
          replace(n_name, '_', '-') AS repo,
          CASE WHEN r_name <> 'MIDDLE EAST' THEN r_name END AS domain,
          CASE WHEN o_custkey % 97 <> 0 THEN c_name END AS author,
@@ -40,8 +40,7 @@ COMMITS = f"""commits AS (
          CAST(CASE WHEN o_orderkey % 101 <> 0 THEN 1 + o_orderkey % 5 END AS INTEGER) AS complexity,
          o_orderkey AS n
   FROM orders JOIN customer ON o_custkey = c_custkey
-       JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  WHERE o_orderstatus IN ('F', 'O'))"""
+       JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 SIZED = f"""{COMMITS}, sizes AS (
   SELECT l_orderkey, count(*) AS entropy, CAST(sum(l_quantity) AS BIGINT) AS churn,
@@ -300,7 +299,7 @@ ORACLES["package_join"] = """WITH docs AS (
   SELECT p_partkey, coalesce(CASE WHEN p_partkey % 5 <> 0 THEN p_size END, 0)::BIGINT AS stars,
          coalesce(CASE WHEN p_partkey % 7 <> 0 THEN p_size * 2 END, 0)::BIGINT AS forks,
          coalesce(CASE WHEN p_partkey % 4 <> 0 THEN p_brand END, 'N/A') AS language, 0::BIGINT AS contributors_count
-  FROM part WHERE p_partkey % 3 <> 0)
+  FROM part)
 SELECT 'p' || part.p_partkey AS package, p_size AS sourcerank, stars, forks, language, contributors_count
 FROM part LEFT JOIN docs USING (p_partkey)"""
 

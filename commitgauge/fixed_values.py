@@ -117,10 +117,6 @@ OTHER = "Other"
 LIBRARY_LABEL = " / "
 
 # Projects studied: final list, and the older list with its own names.
-REPOSITORIES = {
-    "c": ("libxml2", "coreutils", "sqlite", "openssl", "libcurl"),
-    "rust": ("quick-xml", "coreutils", "limbo", "rustls", "hyper"),
-}
 DOMAINS = {
     "libxml2": "XML Parsing",
     "quick-xml": "XML Parsing",
@@ -139,13 +135,6 @@ PAIRS = (
     ("sqlite", "limbo"),
     ("coreutils", "coreutils"),
 )
-OLDER_PAIRS = (
-    ("coreutils", "rust_coreutils"),
-    ("nginx", "hyper"),
-    ("sqlite", "sled"),
-    ("openssl", "rustls"),
-    ("libxml2", "nushell"),
-)
 
 # File names of stored tables.
 COMMIT_FILE_PREFIX = "full_commit_"

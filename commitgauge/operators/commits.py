@@ -51,10 +51,6 @@ def with_net_lines(df: DataFrame) -> DataFrame:
     return df.withColumn("net_lines", F.col("lines_added") - F.col("lines_removed"))
 
 
-def with_change_size(df: DataFrame, into: str = "churn") -> DataFrame:
-    return df.withColumn(into, F.col("lines_added") + F.col("lines_removed"))
-
-
 def with_year(df: DataFrame, date: str = "date") -> DataFrame:
     return df.withColumns({"day": F.to_date(date), "year": F.year(date)})
 

@@ -155,7 +155,3 @@ def max_commits_order(author_years: DataFrame, author: str = "author") -> DataFr
     """Authors by their busiest year."""
     best = author_years.groupBy(author).agg(F.max("commits").alias("max_commits"))
     return best.orderBy(F.desc("max_commits"), author)
-
-
-def with_known_author(df: DataFrame, author: str = "author") -> DataFrame:
-    return df.withColumn(author, X.fill_author(F.col(author)))

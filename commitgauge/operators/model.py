@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer
@@ -44,16 +41,3 @@ def batch_classify(model: PipelineModel, df: DataFrame, into: str = "predicted")
     names = F.array(*[F.lit(x) for x in labels])
     scored = steps.transform(df)
     return scored.withColumn(into, F.get(names, F.col("_prediction").cast("int"))).select(*df.columns, into)
-
-
-def batch_classify_with(
-    df: DataFrame, classify: Callable[[pd.Series], pd.Series], text: str = "text", into: str = "response"
-) -> DataFrame:
-    """Run any other classifier over Arrow batches of the text column, in the tasks."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(**{into: classify(batch[text])})
-
-    schema = df.schema.add(into, "string")
-    return df.mapInPandas(run, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,6 +17,13 @@ def hash_order(seed: str, key: Column) -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), key))
 
 
+def _join_alike(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys where a missing key equals a missing one."""
+    renamed = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
+    return left.join(renamed, reduce(lambda a, b: a & b, on)).drop(*[f"_right_{k}" for k in keys])
+
+
 def gold_sample(
     df: DataFrame,
     frac: float = V.SAMPLE_FRACTION,
@@ -52,7 +60,7 @@ def gold_sample(
     drawn = (
         first_ids(ids)
         .withColumn("_earlier", earlier)
-        .join(sizes, by)
+        .transform(lambda rows: _join_alike(rows, sizes, by))
         .where(F.col("_earlier") < F.col("_wanted"))
         .withColumn("_turn", F.lit(0))
     )
@@ -66,7 +74,7 @@ def gold_sample(
         .where(F.col("sample_rank") <= cap)
         .select(*keys, "sample_rank", (F.col("_turn") == 0).alias("is_random"))
     )
-    return df.join(chosen, keys).dropDuplicates(keys)
+    return _join_alike(df, chosen, keys).dropDuplicates(keys)
 
 
 def to_label(sample: DataFrame) -> DataFrame:
