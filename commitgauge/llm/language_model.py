@@ -158,7 +158,7 @@ def trained(texts: DataFrame, voc: Vocabulary, size: int, rounds: int, noise: in
 
     def local(now: list[np.ndarray], turn: int):
         def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            mine, acc = [a.copy() for a in now], [np.full_like(a, 1e-3 / (1 + turn)) for a in now]
+            mine, acc = [a.copy() for a in now], [np.full_like(a, 2e-5) for a in now]
             rng = np.random.default_rng(seed + turn)
             held: list[tuple] = []
             waiting = seen = 0
@@ -171,7 +171,7 @@ def trained(texts: DataFrame, voc: Vocabulary, size: int, rounds: int, noise: in
                 for i in range(0, len(order), batch):
                     at = order[i : i + batch]
                     drawn = rng.choice(voc.classes, noise, p=share)
-                    nce_step(mine, acc, one[at], two[at], target[at], drawn, log_kq, 0.1)
+                    nce_step(mine, acc, one[at], two[at], target[at], drawn, log_kq, 0.05)
                 seen, waiting = seen + len(target), 0
 
             for pdf in batches:

@@ -169,7 +169,7 @@ def test_line_chunks_match_brute_force(spark, documents, edges, empty):
 
 
 def test_line_chunks_find_a_shifted_passage(spark):
-    passage = "\n".join(f"Line {i} of a passage that moves." for i in range(12))
+    passage = "\n".join(f"Line {i} of a passage that moves." for i in range(40))
     rows = [(k, "\n".join([f"Own line {k} {i}." for i in range(k)] + [passage, f"End {k}."])) for k in range(1, 5)]
     found = line_chunks.repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string"))
     n = {r.doc_id: sum(c.length for c in r.removed) for r in found.collect()}
