@@ -25,7 +25,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def neighbour_graph(x: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
+def neighbour_graph(x: np.ndarray, k: int, block: int = 128) -> np.ndarray:
     """The k nearest others of every row."""
     found = []
     for i in range(0, len(x), block):
@@ -58,7 +58,8 @@ def balanced_partition(x: np.ndarray, graph: np.ndarray, parts: int, turns: int,
                     part[node], left[p] = p, left[p] - 1
                     break
         if turn < turns:
-            wish = np.eye(parts)[part][graph].sum(axis=1) + 0.5 * np.eye(parts)[part]
+            one = np.eye(parts, dtype=np.float32)[part]
+            wish = sum(one[graph[:, j]] for j in range(graph.shape[1])) + 0.5 * one
     return part
 
 
@@ -147,7 +148,8 @@ def search(
         x = unit(np.stack(few["v"]))
         graph = neighbour_graph(x, 10)
         part = balanced_partition(x, graph, parts, 8, rng)
-        soft = np.eye(parts)[part][graph].mean(axis=1) * 0.8 + np.eye(parts)[part] * 0.2
+        one = np.eye(parts, dtype=np.float32)[part]
+        soft = sum(one[graph[:, j]] for j in range(graph.shape[1])) * (0.8 / graph.shape[1]) + one * 0.2
         weights = train_router(x, soft, 64, 1500, rng)
 
     def placed(several: int):
