@@ -225,7 +225,7 @@ def language_scores(
     summed by a key of their own, so rows that share an id stay apart; a missing id stays missing. Without training
     texts all tokens are equally likely.
     """
-    base = docs.select(hide_missing("doc_id"), "text")
+    base = docs.select(hide_missing("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
     learning = docs.filter(may_learn).select(hide_missing("doc_id"), "text")
     counts = stored(counted(learning, endings), "lm-counts")
     voc = vocabulary(counts, tops, shortlist, endings)
@@ -239,7 +239,7 @@ def language_scores(
         for pdf in batches:
             out: list[tuple] = []
             rare: list[pd.DataFrame] = []
-            for at, (doc_id, text) in enumerate(zip(pdf["doc_id"], pdf["text"])):
+            for row, doc_id, text in zip(pdf["row"], pdf["doc_id"], pdf["text"]):
                 tokens = [*plain_words(text), END]
                 hashes, classes = voc.encode(tokens)
                 one, two = voc.contexts(classes)
@@ -248,7 +248,6 @@ def language_scores(
                 where = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
                 met = known[where] == hashes if len(known) else np.zeros(len(hashes), bool)
                 own = n_of[where[met]].sum() if len(known) else 0.0
-                row = xxhash.xxh3_64_intdigest(f"{doc_id}:{at}:{len(tokens)}".encode() + (tokens[0] + tokens[-2 if len(tokens) > 1 else 0])) >> 1
                 out.append((row, doc_id, -row - 1, 0, len(tokens), int(met.sum()), own - len(tokens) * rest, model + own))
                 if not met.all():
                     h, n = np.unique(hashes[~met], return_counts=True)
