@@ -367,10 +367,9 @@ def unusable_answers(spark, sf):
 def scored_predictions(spark, sf):
     metadata = V.commits_v(spark, sf, stats=True)
     keys = ("language", "repo", "commit_id")
-    rows = scored_answers(V.responses_v(spark, sf), metadata, keys)
-    dated = scoring.with_commit_year(rows, metadata, keys)
+    rows = scored_answers(V.responses_v(spark, sf), metadata, keys, carry=("year",))
     return rounded(
-        dated.select(*keys, "category", "complexity", "entropy", "churn", "ccs_score", "year"), "ccs_score"
+        rows.select(*keys, "category", "complexity", "entropy", "churn", "ccs_score", "year"), "ccs_score"
     )
 
 

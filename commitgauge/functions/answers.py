@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from commitgauge import fixed_values as V
-from commitgauge.functions.text import strip
+from commitgauge.functions.text import let, strip
 
 
 def parse_json(text: Column) -> Column:
@@ -14,13 +14,22 @@ def parse_json(text: Column) -> Column:
 
     The parser stops after the first value, so the text is placed in front of a
     mark in an array: trailing text or a second value then displaces the mark.
-    Repeated keys in one object are treated as broken text.
+    Text with repeated keys in one object is broken unless the session allows it
+    (see ``keep_last_keys``).
     """
-    marked = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"#"]')))
-    alone = (F.try_variant_get(marked, "$[1]", "string") == "#") & F.try_variant_get(
-        marked, "$[2]", "string"
-    ).isNull()
-    return F.when(alone, F.try_variant_get(marked, "$[0]", "variant"))
+
+    def whole(marked: Column) -> Column:
+        alone = (F.try_variant_get(marked, "$[1]", "string") == "#") & F.try_variant_get(
+            marked, "$[2]", "string"
+        ).isNull()
+        return F.when(alone, F.try_variant_get(marked, "$[0]", "variant"))
+
+    return let(F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"#"]'))), whole)
+
+
+def keep_last_keys(spark: SparkSession) -> None:
+    """Let the parser of this session keep the last value of a repeated key."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
 def kind(value: Column, path: str) -> Column:

@@ -39,11 +39,14 @@ def read_answer(line: Column) -> Column:
     """
 
     def outer_part(outer: Column) -> Column:
-        is_text = A.kind(outer, ANSWER_PATH) == "STRING"
+        # Where the way leads to a text, all parts on it have the right shape: only the key is left to judge.
+        is_text = F.coalesce(A.kind(outer, ANSWER_PATH) == "STRING", F.lit(False))
+        usual = is_text & (A.kind(outer, "$.key") == "STRING")
         return F.struct(
             F.coalesce(A.text_at(outer, "$.key"), F.lit("")).alias("key"),
             F.when(is_text, X.strip_markdown_fence(A.text_at(outer, ANSWER_PATH))).alias("text"),
             F.when(outer.isNull(), "dropped")
+            .when(usual, None)
             .when(~_is_well_formed(outer), "quarantined")
             .alias("status"),
         )
@@ -92,13 +95,18 @@ def _prediction(read: Column) -> Column:
 
 
 def parse_predictions(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Prediction rows of all usable response lines."""
+    """Prediction rows of all usable response lines; the last value of a repeated key counts.
+
+    Sets ``spark.sql.variant.allowDuplicateKeys`` in the session of ``lines``.
+    """
+    A.keep_last_keys(lines.sparkSession)
     usable = F.filter(F.array(read_answer(F.col(line))), lambda r: r["status"] == "ok")
     return lines.select(F.inline(F.transform(usable, _prediction)))
 
 
 def unusable_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """Lines that give no prediction, with the reason; blank lines are left out."""
+    A.keep_last_keys(lines.sparkSession)
     filled = lines.where(~X.is_missing_text(F.col(line)))
     reasons = F.filter(F.array(read_answer(F.col(line))["status"]), lambda s: s != "ok")
     return filled.select(line, F.explode(reasons).alias("status"))

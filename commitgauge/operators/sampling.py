@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from commitgauge import fixed_values as V
@@ -32,49 +33,56 @@ def gold_sample(
     words: Sequence[str] = V.INTERESTING_WORDS,
     diff_word: str = V.INTERESTING_DIFF_WORD,
     seed: str = "42",
+    ordinal: str | None = None,
 ) -> DataFrame:
     """Commits to label, at most ``cap`` per project: a random part, then telling ones.
 
     Random order is the order of a hash of the id. Text is reduced to one flag
     before anything moves, and both rankings keep ``cap`` ids per project, so a
-    project of any size sends only a few rows into its ranking.
+    project of any size sends only a few rows into its ranking. The chosen ids are
+    broadcast, so unchosen text never moves: they are at most ``cap`` short rows per
+    project, and a sample to be labelled by hand bounds the number of projects.
+    ``ordinal`` names a column whose order, instead of the hash order, the telling
+    rows follow.
     """
     by = list(by)
     flag = X.is_interesting(F.col("message"), F.col("diff"), words, diff_word)
     ids = (
-        df.select(*by, "commit_id", flag.alias("_hit"))
+        df.select(*by, "commit_id", flag.alias("_hit"), F.col(ordinal or "commit_id").alias("_place"))
         .groupBy(*by, "commit_id")
-        .agg(F.count(F.lit(1)).alias("_copies"), F.max("_hit").alias("_hit"))
+        .agg(F.count(F.lit(1)).alias("_copies"), F.max("_hit").alias("_hit"), F.min("_place").alias("_place"))
         .withColumn("_order", hash_order(seed, F.col("commit_id")))
     )
     sizes = df.groupBy(*by).agg(F.bround(F.count(F.lit(1)) * F.lit(frac)).alias("_wanted"))
     group = W.partitionBy(*by)
     hashed = group.orderBy("_order", "commit_id")
 
-    def first_ids(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_rank", F.row_number().over(hashed)).where(F.col("_rank") <= cap)
+    told = group.orderBy("_place" if ordinal else "_order", "commit_id")
+
+    def first_ids(rows: DataFrame, order: WindowSpec) -> DataFrame:
+        return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= cap)
 
     earlier = F.coalesce(
         F.sum("_copies").over(hashed.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
     )
     drawn = (
-        first_ids(ids)
+        first_ids(ids, hashed)
         .withColumn("_earlier", earlier)
         .transform(lambda rows: _join_alike(rows, sizes, by))
         .where(F.col("_earlier") < F.col("_wanted"))
         .withColumn("_turn", F.lit(0))
     )
-    telling = first_ids(ids.where("_hit")).withColumn("_turn", F.lit(1))
+    telling = first_ids(ids.where("_hit"), told).withColumn("_turn", F.lit(1))
     keys = [*by, "commit_id"]
-    both = drawn.select(*keys, "_order", "_turn").unionByName(telling.select(*keys, "_order", "_turn"))
+    both = drawn.select(*keys, "_rank", "_turn").unionByName(telling.select(*keys, "_rank", "_turn"))
     chosen = (
         both.groupBy(*keys)
-        .agg(F.min("_turn").alias("_turn"), F.min("_order").alias("_order"))
-        .withColumn("sample_rank", F.row_number().over(group.orderBy("_turn", "_order", "commit_id")))
+        .agg(F.min(F.struct("_turn", "_rank")).alias("_place"))
+        .withColumn("sample_rank", F.row_number().over(group.orderBy("_place", "commit_id")))
         .where(F.col("sample_rank") <= cap)
-        .select(*keys, "sample_rank", (F.col("_turn") == 0).alias("is_random"))
+        .select(*keys, "sample_rank", (F.col("_place._turn") == 0).alias("is_random"))
     )
-    return _join_alike(df, chosen, keys).dropDuplicates(keys)
+    return _join_alike(df, F.broadcast(chosen), keys).dropDuplicates(keys)
 
 
 def to_label(sample: DataFrame) -> DataFrame:

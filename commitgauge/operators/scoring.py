@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,20 +19,25 @@ def score_predictions(
     metadata: DataFrame,
     on: Sequence[str] = ("commit_id", "repo"),
     plus_one: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Join sizes to predictions and add the score.
+    """Join sizes to predictions and add the score; ``carry`` names more metadata columns to keep.
 
     Give ``language`` as a further key where both sides have it, since one
     project name may exist in both languages.
     """
     on = list(on)
-    sizes = metadata.select(*on, "entropy", "churn")
+    sizes = metadata.select(*on, "entropy", "churn", *carry)
     score = S.ccs_score(F.col("complexity"), F.col("entropy"), F.col("churn"), plus_one=plus_one)
     return predictions.join(sizes, on, "inner").withColumn("ccs_score", score)
 
 
 def with_commit_year(scored: DataFrame, commits: DataFrame, on: Sequence[str] = ("commit_id", "repo")) -> DataFrame:
-    """Add the year a commit was authored."""
+    """Add the year a commit was authored, for scores without metadata at hand.
+
+    Where they are, carry ``year`` through ``score_predictions`` and save this join. A key
+    repeated in ``commits`` repeats its rows.
+    """
     on = list(on)
     return scored.join(commits.select(*on, F.year("date").alias("year")), on, "inner")
 
@@ -42,23 +47,52 @@ def avg_ccs(scored: DataFrame) -> DataFrame:
     return worked.groupBy("work_type", "category", "language").agg(F.avg("ccs_score").alias("avg_ccs"))
 
 
+def _join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows beside the figures of their group; a missing key is a group too."""
+    v, g = rows.alias("v"), groups.alias("g")
+    same = [F.col(f"v.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys]
+    figures = [f"g.{c}" for c in groups.columns if c not in keys]
+    return v.join(g, same).select("v.*", *figures)
+
+
+def _with_bin(rows: DataFrame, value: str, side: int) -> DataFrame:
+    """Add the number of split points up to the value, found in two steps of about ``side`` comparisons."""
+
+    def upto(points: Column) -> Column:
+        return F.size(F.filter(points, lambda p: p <= F.col(value)))
+
+    marks = F.transform(F.sequence(F.lit(1), F.lit(side - 1)), lambda i: F.get(F.col("_splits"), i * side - 1))
+    coarse = rows.withColumn("_coarse", upto(marks) * side)
+    fine = upto(F.slice("_splits", F.col("_coarse") + 1, F.lit(side)))
+    return coarse.withColumn("_bin", F.col("_coarse") + fine).drop("_coarse")
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
     by: Sequence[str],
     probs: Sequence[float] = (0.25, 0.5, 0.75),
-    bins_per_unit: int = 64,
+    side: int = 32,
 ) -> DataFrame:
     """Quantiles with linear interpolation, one column ``q<percent>`` per probability.
 
-    Counts per distinct value come first, so repeated values cost one row. Equal
-    width bins then tell in which bin each wanted position lies, and values are
-    only numbered inside those bins.
+    Missing and NaN values take no part. Counts per distinct value come first, so
+    repeated values cost one row. Approximate quantiles of the distinct values cut
+    each group into ``side`` squared bins of about equal numbers of values, whatever
+    their range; exact counts then tell in which bin each wanted position lies, and
+    values are only numbered inside those bins.
     """
     by = list(by)
-    values = count_by(df.where(F.col(value).isNotNull()), *by, value, name="_n").withColumn(
-        "_bin", F.floor(F.col(value) * bins_per_unit)
+    if not by:
+        whole = df.withColumn("_all", F.lit(1))
+        return exact_quantiles(whole, value, ["_all"], probs, side).drop("_all")
+    usable = F.col(value).isNotNull() & ~F.isnan(F.col(value))
+    values = count_by(df.where(usable), *by, value, name="_n")
+    cuts = side * side
+    splits = values.groupBy(*by).agg(
+        F.percentile_approx(value, [i / cuts for i in range(1, cuts)], 10 * cuts).alias("_splits")
     )
+    values = _with_bin(_join_groups(values, splits, by), value, side).drop("_splits")
     bins = values.groupBy(*by, "_bin").agg(F.sum("_n").alias("_in_bin"))
     group = W.partitionBy(*by)
     sized = bins.withColumns(
@@ -75,9 +109,7 @@ def exact_quantiles(
     inside = [(p >= F.col("_before")) & (p < F.col("_upto")) for p in positions]
     needed = sized.where(F.array_contains(F.array(*inside), True)).drop("_in_bin", "_upto")
     keys = [*by, "_bin"]
-    v, b = values.alias("v"), needed.alias("b")
-    same = [F.col(f"v.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    numbered = v.join(b, same).select("v.*", "b._before", "b._total")
+    numbered = _join_groups(values, needed, keys)
     within = F.sum("_n").over(
         W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     )

@@ -68,8 +68,12 @@ def grouped_regression(df: DataFrame, x: str, y: str, by: Sequence[str]) -> Data
 
 
 def yearly_fix_ratio(df: DataFrame, flag: str = "is_bug_fix", by: Sequence[str] = ()) -> DataFrame:
-    """Fixes per other commit and year (the plain number of fixes where there is no other)."""
-    counts = df.groupBy(*by, "year").agg(
+    """Fixes per other commit and year (the plain number of fixes where there is no other).
+
+    Rows without flag or year take no part.
+    """
+    known = df.where(F.col(flag).isNotNull() & F.col("year").isNotNull())
+    counts = known.groupBy(*by, "year").agg(
         F.count_if(F.col(flag)).alias("bug_fixes"), F.count_if(~F.col(flag)).alias("other_commits")
     )
     fixes, others = F.col("bug_fixes").cast("double"), F.col("other_commits")

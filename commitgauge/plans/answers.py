@@ -12,9 +12,13 @@ from commitgauge.operators.scoring import score_predictions
 
 
 def scored_answers(
-    lines: DataFrame, metadata: DataFrame, on: Sequence[str] = ("commit_id", "repo"), line: str = "value"
+    lines: DataFrame,
+    metadata: DataFrame,
+    on: Sequence[str] = ("commit_id", "repo"),
+    line: str = "value",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    return score_predictions(parse_predictions(lines, line), metadata, on)
+    return score_predictions(parse_predictions(lines, line), metadata, on, carry=carry)
 
 
 def library_focus(lines: DataFrame, line: str = "value") -> DataFrame:
