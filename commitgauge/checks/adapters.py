@@ -246,6 +246,7 @@ def responses_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(flaw == 3, '{"cat":')
         .when(flaw == 4, "[1]")
         .when(flaw == 6, F.concat(answer, F.lit(" ok thanks")))
+        .when(flaw == 9, F.concat(F.lit('{"sec":null,'), F.substr(answer, F.lit(2))))
         .when(flaw == 7, F.concat(F.lit("```json\n"), answer, F.lit("\n```")))
         .otherwise(answer)
     )
@@ -297,7 +298,7 @@ def package_docs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def api_commits_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as saved API commits: all text, some times missing or unreadable."""
+    """Orders as saved API commits: all text, some times missing, unreadable, short of a time or without signs."""
     commits = commits_v(spark, sf_dir)
     k = F.col("n")
     stamp = F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -307,5 +308,8 @@ def api_commits_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("author").alias("author_name"),
         F.lower(F.replace("author", F.lit("#"), F.lit("."))).alias("author_email"),
         F.when(k % 13 != 0, stamp).otherwise("unknown").alias("authored_date"),
-        F.when(k % 4 != 0, later).alias("committed_date"),
+        F.when(k % 17 == 3, F.date_format("date", "yyyy-MM"))
+        .when(k % 17 == 5, F.date_format(F.date_add("date", 30), "yyyyMMdd HHmmss"))
+        .when(k % 4 != 0, later)
+        .alias("committed_date"),
     )

@@ -169,7 +169,7 @@ FROM c GROUP BY language, year"""
 ORACLES["commits_by_year"] = f"WITH {COMMITS} SELECT year, count(*) AS commits FROM commits GROUP BY year"
 ORACLES["commits_by_author_year"] = f"WITH {AUTHOR_YEARS} SELECT year, author, commits FROM author_years"
 ORACLES["api_commits_by_author_year"] = f"""WITH {COMMITS},
-t AS (SELECT CASE WHEN n % 4 <> 0 THEN CAST(day AS TIMESTAMP) + INTERVAL 30 DAY
+t AS (SELECT CASE WHEN n % 17 = 3 THEN NULL WHEN n % 4 <> 0 OR n % 17 = 5 THEN CAST(day AS TIMESTAMP) + INTERVAL 30 DAY
                   WHEN n % 13 <> 0 THEN CAST(day AS TIMESTAMP) END AS ts, author FROM commits)
 SELECT CAST(year(ts) AS INTEGER) AS year, coalesce(author, '<unknown>') AS author_name,
        lower(replace(author, '#', '.')) AS author_email, count(*) AS commits
@@ -295,11 +295,15 @@ degrees AS (
 ORACLES["degree_centrality"] = f"WITH {DEGREES} SELECT * FROM degrees"
 ORACLES["top_packages"] = f"""WITH {DEGREES}
 SELECT node AS package, * EXCLUDE (node) FROM degrees ORDER BY out_degree DESC, node LIMIT 10"""
-ORACLES["package_join"] = """WITH docs AS (
+PACKAGE_DOCS = """docs AS (
   SELECT p_partkey, coalesce(CASE WHEN p_partkey % 5 <> 0 THEN p_size END, 0)::BIGINT AS stars,
          coalesce(CASE WHEN p_partkey % 7 <> 0 THEN p_size * 2 END, 0)::BIGINT AS forks,
          coalesce(CASE WHEN p_partkey % 4 <> 0 THEN p_brand END, 'N/A') AS language, 0::BIGINT AS contributors_count
-  FROM part)
+  FROM part)"""
+ORACLES["central_package_docs"] = f"""WITH {DEGREES}, {PACKAGE_DOCS}
+SELECT node AS package, degrees.* EXCLUDE (node), docs.* EXCLUDE (p_partkey)
+FROM degrees LEFT JOIN docs ON node = 'p' || p_partkey"""
+ORACLES["package_join"] = f"""WITH {PACKAGE_DOCS}
 SELECT 'p' || part.p_partkey AS package, p_size AS sourcerank, stars, forks, language, contributors_count
 FROM part LEFT JOIN docs USING (p_partkey)"""
 
@@ -586,11 +590,11 @@ SELECT commit_id, CAST(file_no AS INTEGER) AS file_no, CAST(hunk_no AS INTEGER)
        count(*) AS n_lines, CAST(max(line_no) AS INTEGER) AS last_line, CAST(sum(length(line)) AS BIGINT) AS n_chars
 FROM content JOIN files USING (k, file_no) WHERE NOT (k % 29 = 3 AND file_no = 1)
 GROUP BY commit_id, file_no, hunk_no, path, kind"""
-ORACLES["commit_stats"] = f"""WITH {CLASSES}
-SELECT commit_id, CAST(CASE WHEN diff IS NULL THEN NULL ELSE count(file_no) END AS INTEGER) AS entropy,
+STATS = f"""SELECT commit_id, CAST(CASE WHEN diff IS NULL THEN NULL ELSE count(file_no) END AS INTEGER) AS entropy,
        CASE WHEN diff IS NULL THEN NULL
             ELSE CAST(coalesce(sum({_KNOWN.format("added + removed")}), 0) AS BIGINT) END AS churn
 FROM diffs LEFT JOIN sums USING (k) GROUP BY commit_id, diff"""
+ORACLES["commit_stats"] = f"WITH {CLASSES} {STATS}"
 ORACLES["file_kinds"] = f"""WITH {CLASSES}
 SELECT CAST(k AS VARCHAR) AS commit_id, CAST(file_no AS INTEGER) AS file_no, path, tag, file_kind,
        {_KNOWN.format("added")} AS lines_added, {_KNOWN.format("removed")} AS lines_removed
@@ -641,6 +645,9 @@ condensed AS (
               ELSE full_text END AS diff
   FROM diffs LEFT JOIN joined USING (k))"""
 ORACLES["condensed_diff"] = f"WITH {CONDENSED} SELECT commit_id, diff FROM condensed"
+ORACLES["condensed_history"] = f"""WITH {CONDENSED}, stats AS ({STATS})
+SELECT commit_id, entropy, churn, trim(message, {WS}) AS message, coalesce(diff, '') AS diff
+FROM condensed JOIN stats USING (commit_id)"""
 ORACLES["truncation_ratio"] = f"""WITH {CONDENSED}
 SELECT language, CAST(sum(length(raw)) AS BIGINT) AS raw_chars, CAST(sum(length(diff)) AS BIGINT) AS condensed_chars,
        round(1 - sum(length(diff))::DOUBLE / sum(length(raw)), 6) AS reduction FROM condensed GROUP BY language"""
@@ -660,6 +667,39 @@ r AS (SELECT *, row_number() OVER (PARTITION BY language, repo ORDER BY h)
 f AS (SELECT *, row_number() OVER (PARTITION BY language, repo ORDER BY CASE WHEN drawn THEN 0 ELSE 1 END, h) AS rank
       FROM r WHERE drawn OR hit)
 SELECT language, repo, commit_id, CAST(rank AS INTEGER) AS sample_rank, drawn AS is_random FROM f WHERE rank <= 12"""
+def naive_bayes(examples: str) -> str:
+    """Tables up to `best` (doc_id, predicted), trained on the labelled ids of a query."""
+    return f"""ex AS ({examples}),
+w AS (SELECT doc_id, word FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS word
+      FROM documents) WHERE word <> ''),
+c AS (SELECT label, word, count(*) AS n FROM w JOIN ex USING (doc_id) GROUP BY ALL),
+top AS (SELECT word FROM c GROUP BY word ORDER BY sum(n) DESC, word LIMIT 4096),
+l AS (SELECT label, count(*) AS docs FROM ex GROUP BY label),
+t AS (SELECT label, sum(n) AS total FROM c JOIN top USING (word) GROUP BY label),
+m AS (SELECT top.word, l.label,
+             ln((coalesce(n, 0) + 1.0::DOUBLE) / (coalesce(total, 0) + (SELECT count(*) FROM top))) AS weight
+      FROM top CROSS JOIN l LEFT JOIN t USING (label) LEFT JOIN c ON c.word = top.word AND c.label = l.label),
+s AS (SELECT doc_id, label, sum(weight) AS weight FROM w JOIN m USING (word) GROUP BY ALL),
+p AS (SELECT doc_id, l.label, ln(docs::DOUBLE / (SELECT count(*) FROM ex)) AS prior FROM documents CROSS JOIN l),
+best AS (SELECT doc_id, label AS predicted FROM p LEFT JOIN s USING (doc_id, label)
+         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(prior + coalesce(weight, 0), 6) DESC, label DESC) = 1)"""
+
+
+_KNOWN = "SELECT doc_id, CAST(quality AS VARCHAR) AS label FROM labels"
+_PART = "CASE WHEN left(md5('42:' || doc_id), 4) < 'cccd' THEN 'train' ELSE 'holdout' END"
+ORACLES["classify_documents"] = f"WITH {naive_bayes(_KNOWN)} SELECT doc_id, predicted FROM best"
+ORACLES["classifier_holdout"] = f"""WITH {naive_bayes(_KNOWN + " WHERE " + _PART + " = 'train'")}
+SELECT {_PART} AS split, count(*) AS n, count(*) FILTER (predicted = label) AS correct
+FROM best JOIN ({_KNOWN}) USING (doc_id) GROUP BY 1"""
+ORACLES["interesting_documents"] = "SELECT doc_id, coalesce(" + " OR ".join(
+    f"regexp_matches(lower(text), {text(w.lower())})" for w in (*V.INTERESTING_WORDS, V.INTERESTING_DIFF_WORD)
+) + ", false) AS interesting FROM documents"
+ORACLES["later_known_commits"] = f"""WITH {COMMITS}
+SELECT commit_id, author, CAST(day AS VARCHAR) AS day, CASE WHEN language = 'c' THEN complexity END AS complexity
+FROM commits WHERE author IS NOT NULL AND year > 1995"""
+ORACLES["plus_one_scores"] = f"""WITH {SIZED}
+SELECT language, repo, commit_id, round(complexity + 0.5::DOUBLE * log10(coalesce(entropy, 0) + 1.0::DOUBLE)
+       + 0.5::DOUBLE * log10(coalesce(churn, 0) + 1.0::DOUBLE), 6) AS ccs_score FROM sized"""
 ORACLES["holdout_split"] = f"""WITH {COMMITS}
 SELECT commit_id, CASE WHEN left(md5('42:' || commit_id), 4) < 'cccd' THEN 'train' ELSE 'holdout' END AS split FROM commits"""
 _STRIPPED = f"trim(text, {WS})"

@@ -12,18 +12,19 @@ from commitgauge.functions import text as X
 from commitgauge.functions.diffs import line_kind
 from commitgauge.operators import (
     activity,
+    bayes,
     commits,
     concentration,
     diffs,
     focus,
     labels,
-    model,
     packages,
     predictions,
     sampling,
     scoring,
     trends,
 )
+from commitgauge.plans import history
 from commitgauge.plans.answers import library_focus, scored_answers
 from commitgauge.sources.sinks import llm_requests, tuning_examples
 
@@ -343,6 +344,14 @@ def top_packages(spark, sf):
     )
 
 
+@query
+def central_package_docs(spark, sf):
+    """Centrality of every node beside the community figures of those that are packages."""
+    metrics = packages.degree_centrality(V.edges_v(spark, sf)).withColumnRenamed("node", "package")
+    rows = packages.join_package_docs(metrics, packages.fill_package_docs(V.package_docs_v(spark, sf)))
+    return rounded(rows, "in_degree_centrality", "out_degree_centrality")
+
+
 @query
 def package_join(spark, sf):
     docs = packages.fill_package_docs(V.package_docs_v(spark, sf))
@@ -398,6 +407,37 @@ def ccs_quartiles(spark, sf):
     return rounded(scoring.ccs_quartiles(scored(spark, sf)), "q25", "q50", "q75")
 
 
+@query
+def plus_one_scores(spark, sf):
+    keys = ["language", "repo", "commit_id"]
+    rows = V.commits_v(spark, sf, stats=True)
+    marks = rows.select(*keys, "category", "complexity")
+    return rounded(
+        scoring.score_predictions(marks, rows, keys, plus_one=True).select(*keys, "ccs_score"), "ccs_score"
+    )
+
+
+@query
+def later_known_commits(spark, sf):
+    """Commits with author and complexity after 1995, from pages under their older names."""
+    rows = V.commits_v(spark, sf).select(
+        "commit_id", "language", "repo", F.col("author").alias("author_name"), F.col("date").alias("authored_datetime"),
+        "year", "complexity",
+    )
+    pages = [rows.where(F.col("language") == "c"), rows.where(F.col("language") == "rust").drop("complexity")]
+    known = commits.drop_null_keys(commits.rename_older(commits.concat_pages(pages, rows.schema, rows)), "author")
+    later = commits.year_after(known, 1995)
+    return later.select("commit_id", "author", F.to_date("date").cast("string").alias("day"), "complexity")
+
+
+@query
+def interesting_documents(spark, sf):
+    """Documents with one of the default words."""
+    docs = V.table(spark, sf, "documents")
+    hit = X.is_interesting(F.col("text"), F.col("text"))
+    return docs.select("doc_id", hit.alias("interesting"))
+
+
 @query
 def library_summary(spark, sf):
     return scoring.library_summary(V.commits_v(spark, sf))
@@ -546,6 +586,12 @@ def condensed_diff(spark, sf):
     return rows.select("commit_id", "diff")
 
 
+@query
+def condensed_history(spark, sf):
+    """Size figures and condensed diff from one reading."""
+    return history.condensed_commits(V.diffs_v(spark, sf)).select("commit_id", "entropy", "churn", "message", "diff")
+
+
 @query
 def truncation_ratio(spark, sf):
     rows = diffs.condense_diffs(V.diffs_v(spark, sf))
@@ -583,10 +629,25 @@ def holdout_split(spark, sf):
 @query
 def classify_documents(spark, sf):
     """A classifier trained on the labelled documents, applied to all of them."""
+    docs, known = labelled(spark, sf)
+    return bayes.classify(bayes.train_naive_bayes(docs.join(known, "doc_id")), docs, "doc_id")
+
+
+@query
+def classifier_holdout(spark, sf):
+    """Right answers of a classifier trained on the training part alone, in both parts."""
+    docs, known = labelled(spark, sf)
+    known = sampling.holdout_split(known, "doc_id")
+    fitted = bayes.train_naive_bayes(docs.join(known.where("split = 'train'"), "doc_id"))
+    answers = bayes.classify(fitted, docs, "doc_id").join(known, "doc_id")
+    return answers.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted") == F.col("label")).alias("correct")
+    )
+
+
+def labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = V.table(spark, sf, "documents").select("doc_id", "text")
-    known = V.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
-    fitted = model.train_commit_classifier(docs.join(known, "doc_id"))
-    return model.batch_classify(fitted, docs).select("doc_id", "predicted")
+    return docs, V.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
 
 
 # ---- scalar functions ---------------------------------------------------------------

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +32,27 @@ CHANGED_LINE = r"\n[-+\\]"
 FIRST_WORD_ADDED = rf"\n\+[{BLANK}]*+([^{WHITESPACE}]+)"
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What condensing leaves out; None for ``long_hunk``, ``repetitive_min_added`` or a ``max`` means no cut.
+
+    Hunks longer than ``long_hunk`` lines are folded to ``keep_lines`` at both ends, in code only if they are longer
+    than ``huge_hunk`` or hold fewer than ``sparse_changes`` changes between. A hunk of ``repetitive_min_added`` added
+    lines, of which more than ``repetitive_share`` start alike, is folded to ``keep_repetitive`` lines at both ends.
+    """
+
+    long_hunk: int | None = V.LONG_HUNK
+    huge_hunk: int = V.HUGE_HUNK
+    keep_lines: int = V.KEEP_LINES
+    sparse_changes: int = V.SPARSE_CHANGES
+    repetitive_min_added: int | None = V.REPETITIVE_MIN_ADDED
+    repetitive_share: float = V.REPETITIVE_SHARE
+    keep_repetitive: int = V.KEEP_REPETITIVE
+    artifact_lines: int = V.ARTIFACT_LINES
+    max_chars: int | None = V.MAX_DIFF_CHARS
+    max_broken_chars: int | None = V.MAX_BROKEN_CHARS
+
+
 def _any_of(words: Sequence[str]) -> str:
     return "(?:" + "|".join(re.escape(w) for w in words) + ")"
 
@@ -252,12 +274,14 @@ def is_broken(diff: Column, files: Column) -> Column:
 # ---- condensing ---------------------------------------------------------------------
 
 
-def is_repetitive(hunk: Column) -> Column:
+def is_repetitive(hunk: Column, limits: Limits = Limits()) -> Column:
     """Whether one first word starts more than the given share of the added lines.
 
     A word with more than half of all words is the middle one after sorting, so
     only that one has to be counted.
     """
+    if limits.repetitive_min_added is None:
+        return F.lit(False)
     words = F.regexp_extract_all(hunk["text"], F.lit(FIRST_WORD_ADDED), F.lit(1))
 
     def share(ordered: Column) -> Column:
@@ -266,9 +290,9 @@ def is_repetitive(hunk: Column) -> Column:
             middle, lambda word: F.size(F.filter(ordered, lambda x: x == word)) / hunk["added"]
         )
 
-    enough = hunk["added"] >= V.REPETITIVE_MIN_ADDED
+    enough = hunk["added"] >= limits.repetitive_min_added
     return F.when(
-        enough, F.coalesce(let(F.sort_array(words), share) > V.REPETITIVE_SHARE, F.lit(False))
+        enough, F.coalesce(let(F.sort_array(words), share) > limits.repetitive_share, F.lit(False))
     ).otherwise(F.lit(False))
 
 
@@ -290,24 +314,28 @@ def _fold(hunk: Column, keep: int, note: str) -> Column:
     )
 
 
-def _log_text(hunk: Column) -> Column:
-    long = hunk["size"] > V.LONG_HUNK
-    return F.when(long, _fold(hunk, V.KEEP_LINES, V.SNIP_LOG)).otherwise(hunk["text"])
+def _is_long(hunk: Column, limits: Limits) -> Column:
+    return F.lit(False) if limits.long_hunk is None else hunk["size"] > limits.long_hunk
+
+
+def _log_text(hunk: Column, limits: Limits) -> Column:
+    folded = _fold(hunk, limits.keep_lines, V.SNIP_LOG)
+    return F.when(_is_long(hunk, limits), folded).otherwise(hunk["text"])
 
 
-def _code_text(hunk: Column) -> Column:
-    long = hunk["size"] > V.LONG_HUNK
+def _code_text(hunk: Column, limits: Limits) -> Column:
+    keep = limits.keep_lines
 
     def changed(text: Column) -> Column:
         return F.regexp_count(text, F.lit(CHANGED_LINE))
 
-    outside = changed(_first_lines(hunk, V.KEEP_LINES)) + changed(_last_lines(hunk, V.KEEP_LINES))
+    outside = changed(_first_lines(hunk, keep)) + changed(_last_lines(hunk, keep))
     inside = hunk["added"] + hunk["removed"] + hunk["marks"] - outside
     return (
-        F.when(is_repetitive(hunk), _fold(hunk, V.KEEP_REPETITIVE, V.SNIP_REPETITIVE))
+        F.when(is_repetitive(hunk, limits), _fold(hunk, limits.keep_repetitive, V.SNIP_REPETITIVE))
         .when(
-            long & ((hunk["size"] > V.HUGE_HUNK) | (inside < V.SPARSE_CHANGES)),
-            _fold(hunk, V.KEEP_LINES, V.SNIP_BODY),
+            _is_long(hunk, limits) & ((hunk["size"] > limits.huge_hunk) | (inside < limits.sparse_changes)),
+            _fold(hunk, keep, V.SNIP_BODY),
         )
         .otherwise(hunk["text"])
     )
@@ -318,13 +346,13 @@ def _texts(hunks: Column, text_of: Callable[[Column], Column]) -> Column:
     return F.transform(hunks, lambda h: rstrip_lines(text_of(h)))
 
 
-def _file_text(file: Column) -> Column:
+def _file_text(file: Column, limits: Limits) -> Column:
     """Shown text of a file, ending without a line break."""
     title = F.concat(F.lit(V.FILE_HEADER), file["path"], file["tag"])
     hunks = file["hunks"]
     artifact_title = F.concat(title, F.format_string(V.ARTIFACT_NOTE, file["added"], file["removed"]))
     shown = F.replace(
-        rstrip_lines(_first_lines(F.get(hunks, 0), V.ARTIFACT_LINES)),
+        rstrip_lines(_first_lines(F.get(hunks, 0), limits.artifact_lines)),
         F.lit("\n"),
         F.lit("\n" + V.ARTIFACT_INDENT),
     )
@@ -332,8 +360,8 @@ def _file_text(file: Column) -> Column:
         F.size(hunks) > 0, F.concat(artifact_title, shown, F.lit("\n" + V.ARTIFACT_END))
     ).otherwise(artifact_title)
 
-    def with_hunks(text_of: Callable[[Column], Column]) -> Column:
-        return F.array_join(F.concat(F.array(title), _texts(hunks, text_of)), "")
+    def with_hunks(text_of: Callable[[Column, Limits], Column]) -> Column:
+        return F.array_join(F.concat(F.array(title), _texts(hunks, lambda h: text_of(h, limits))), "")
 
     return (
         F.when(file["kind"] == "noise", F.concat(title, F.lit(V.NOISE_NOTE)))
@@ -343,21 +371,27 @@ def _file_text(file: Column) -> Column:
     )
 
 
-def condensed_text(files: Column, limit: int = V.MAX_DIFF_CHARS) -> Column:
+def condensed_text(files: Column, limits: Limits = Limits()) -> Column:
+    whole = F.array_join(F.transform(files, lambda f: _file_text(f, limits)), "\n")
+    if limits.max_chars is None:
+        return whole
     return let(
-        F.array_join(F.transform(files, _file_text), "\n"),
+        whole,
         lambda text: F.when(
-            F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(V.TOO_LONG_END))
+            F.length(text) > limits.max_chars,
+            F.concat(F.left(text, F.lit(limits.max_chars)), F.lit(V.TOO_LONG_END)),
         ).otherwise(text),
     )
 
 
-def condensed_diff(diff: Column, files: Column, error: Column | None = None) -> Column:
+def condensed_diff(
+    diff: Column, files: Column, error: Column | None = None, limits: Limits = Limits()
+) -> Column:
     """Condensed text of a raw diff, given its files as read by ``read_files``."""
+    cut = diff if limits.max_broken_chars is None else F.left(diff, F.lit(limits.max_broken_chars))
     result = F.when(strip(diff) == "", V.EMPTY_DIFF).when(
-        is_broken(diff, files),
-        F.concat(F.left(diff, F.lit(V.MAX_BROKEN_CHARS)), F.lit(V.BROKEN_END)),
-    ).otherwise(condensed_text(files))
+        is_broken(diff, files), F.concat(cut, F.lit(V.BROKEN_END))
+    ).otherwise(condensed_text(files, limits))
     if error is not None:
         result = F.when(error.isNotNull(), F.format_string(V.FETCH_ERROR, error)).otherwise(result)
     return result

@@ -13,6 +13,10 @@ from commitgauge import fixed_values as V
 BLANK = r"\t\x0b-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITESPACE = r"\n" + BLANK
 WHITESPACE_RUN = f"[{WHITESPACE}]+"
+FULL_TIME = (
+    r"\A([0-9]{4})[-/. ]?([0-9]{2})[-/. ]?([0-9]{2})[T ]*([0-9]{2})[:. ]?([0-9]{2})[:. ]?([0-9]{2}(?:\.[0-9]+)?)"
+    r" ?(Z|[+-][0-9]{2}:?[0-9]{2})?\z"
+)
 NUMBER = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
 
@@ -164,8 +168,14 @@ def count_removed(diff: Column) -> Column:
 
 
 def commit_timestamp(committed: Column, authored: Column) -> Column:
-    """Commit time, or author time where there is none; NULL when it cannot be read."""
-    return F.try_to_timestamp(F.coalesce(committed, authored))
+    """Commit time, or author time where there is none; NULL when it cannot be read.
+
+    Read are full times from year to second in this order, with any usual signs between the parts or none, a
+    fraction and a zone; a year, month or day alone is no time.
+    """
+    text = strip(F.coalesce(committed, authored))
+    usual = F.regexp_replace(text, FULL_TIME, "$1-$2-$3 $4:$5:$6$7")
+    return F.when(text.rlike(FULL_TIME), usual.try_cast("timestamp"))
 
 
 def format_range(low: Column, high: Column) -> Column:

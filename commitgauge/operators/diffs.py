@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commitgauge.functions import diffs as D
@@ -71,21 +71,34 @@ def list_files(df: DataFrame, diff: str = "diff_raw", keep: Sequence[str] = ("co
 
 
 def condense_diffs(
-    df: DataFrame, diff: str = "diff_raw", into: str = "diff", error: str | None = None
+    df: DataFrame,
+    diff: str = "diff_raw",
+    into: str = "diff",
+    error: str | None = None,
+    limits: D.Limits = D.Limits(),
+    stats: bool = False,
 ) -> DataFrame:
-    """Add the condensed diff; ``error`` names a column with the text of a failed fetch."""
+    """Add the condensed diff; ``error`` names a column with the text of a failed fetch.
+
+    ``stats`` adds entropy and churn as ``commit_stats`` does, from the same reading of the diff.
+    """
     files = df.withColumn("_files", D.read_files(F.col(diff)))
     failed = None if error is None else F.col(error)
-    return files.withColumn(into, D.condensed_diff(F.col(diff), F.col("_files"), failed)).drop("_files")
+    columns = {into: D.condensed_diff(F.col(diff), F.col("_files"), failed, limits)}
+    return files.withColumns(columns | (_sizes() if stats else {})).drop("_files")
 
 
-def commit_stats(df: DataFrame, diff: str = "diff_raw") -> DataFrame:
-    """Add files touched (entropy) and lines added plus removed (churn) of each diff."""
-    files = df.withColumn("_files", D.read_files(F.col(diff)))
+def _sizes() -> dict[str, Column]:
     changed = F.aggregate(
         "_files", F.lit(0).cast("long"), lambda acc, f: acc + f["added"] + f["removed"]
     )
-    return files.withColumns({"entropy": F.size("_files"), "churn": changed}).drop("_files")
+    return {"entropy": F.size("_files"), "churn": changed}
+
+
+def commit_stats(df: DataFrame, diff: str = "diff_raw") -> DataFrame:
+    """Add files touched (entropy) and lines added plus removed (churn) of each diff."""
+    files = df.withColumn("_files", D.read_files(F.col(diff)))
+    return files.withColumns(_sizes()).drop("_files")
 
 
 def truncation_ratio(

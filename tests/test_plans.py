@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 from commitgauge.checks.queries import QUERIES
 from commitgauge.operators import activity, concentration, labels, sampling, scoring
 
-NO_SHUFFLE_OF_TEXT = ("condensed_diff", "commit_stats", "line_counts", "file_changes", "file_kinds", "request_rows")
+NO_SHUFFLE_OF_TEXT = ("condensed_diff", "commit_stats", "line_counts", "file_changes", "file_kinds", "request_rows", "condensed_history")
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"classify_documents"}))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_nested_loops_and_no_python(spark, sf_dir, name):
     text = plan(QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
@@ -57,6 +57,48 @@ def test_text_stays_out_of_sampling_rankings(spark, tmp_path):
     assert rankings and not any("message" in line or "diff#" in line for line in rankings)
 
 
+@pytest.fixture()
+def wide_tables(spark, tmp_path):
+    """Stored rows with wide text, and no automatic broadcasts."""
+    path = str(tmp_path / "rows")
+    rows = commits(spark).withColumn("label_category", F.col("language")).withColumn("label_reasoning", F.col("message"))
+    rows.write.parquet(path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark.read.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_wide_rows_stay_where_they_are(wide_tables):
+    for df in (
+        labels.tail_rewrite(wide_tables, "repo", "ordinal"),
+        labels.reasons_by_label(wide_tables),
+        sampling.gold_sample(wide_tables),
+    ):
+        text = plan(df)
+        assert "SortMergeJoin [repo" not in text and "SortMergeJoin [label" not in text
+        assert text.count("BroadcastHashJoin") >= 1
+    final = plan(sampling.gold_sample(wide_tables)).split("BroadcastHashJoin")[0]
+    assert final.count("Exchange") <= 1  # chosen rows alone, to drop repeated ones
+
+
+def test_history_reads_a_diff_once(spark, sf_dir):
+    from commitgauge.checks.adapters import diffs_v
+    from commitgauge.operators.diffs import condense_diffs
+    from commitgauge.plans.history import condensed_commits
+
+    def readings(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("@@ -([0-9]+)")
+
+    history = diffs_v(spark, sf_dir)
+    assert readings(condensed_commits(history)) == readings(condense_diffs(history))
+
+
+def test_one_join_for_scores(spark, sf_dir):
+    text = QUERIES["scored_predictions"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join Inner") + text.count("Join Left") <= 8
+
+
 def test_skewed_results_are_whole(spark):
     df = commits(spark)
     ranks = concentration.author_rank(df, ["language"])

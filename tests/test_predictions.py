@@ -118,3 +118,8 @@ def test_parse_json_alone(spark):
     df = spark.createDataFrame([("1",), ("1 2",), ("null",), ("",), ('{"a": [1, {"b": null}]}',)], "x string")
     got = [r[0] for r in df.select(A.parse_json(F.col("x")).isNotNull()).collect()]
     assert got == [True, False, True, False, True]
+
+
+def test_last_value_of_a_repeated_key(spark):
+    got = parse(spark, response('{"cat": "CI", "comp": 2, "comp": 4}'))
+    assert [(r.category, r.complexity) for r in got] == [(V.BUILD, 4)]

@@ -1,5 +1,6 @@
 """Activity, concentration, focus, scoring and trends on literal tables."""
 
+import math
 import random
 
 import pytest
@@ -145,6 +146,24 @@ def test_domain_delta_keeps_totals(spark):
     assert got == {V.MEMORY: (0.5, 0.0, 0.5, "Maintenance"), V.FEATURE: (0.0, 1.0, -1.0, "Feature")}
 
 
+@pytest.mark.parametrize("low, step", [(0.0, 1e-5), (1e12, 1.0), (-3.0, 1e9)])
+def test_quantiles_of_any_range(spark, low, step):
+    values = [low + step * i for i in range(3001)]
+    rows = spark.createDataFrame([("c", v) for v in values + [math.nan] * 500], "language string, ccs_score double")
+    got = scoring.ccs_quartiles(rows.repartition(5)).first()
+    assert [got.q25, got.q50, got.q75] == [pytest.approx(values[i]) for i in (750, 1500, 2250)]
+    known = rows.where("not isnan(ccs_score)")
+    bins = scoring._with_bin(known.crossJoin(
+        known.agg(F.percentile_approx("ccs_score", [i / 1024 for i in range(1, 1024)], 10240).alias("_splits"))
+    ), "ccs_score", 32).groupBy("_bin").count()
+    assert bins.count() > 900 and bins.agg(F.max("count")).first()[0] < 10
+
+
+def test_quantiles_without_groups(spark):
+    rows = spark.createDataFrame([(float(i),) for i in range(5)], "v double")
+    assert tuple(scoring.exact_quantiles(rows, "v", []).first()) == (1.0, 2.0, 3.0)
+
+
 def test_quantiles_against_interpolation(spark):
     rng = random.Random(5)
     values = {"c": [rng.choice([1.0, 1.5, 2.25]) for _ in range(50)], "rust": [rng.uniform(-3, 9) for _ in range(37)], "one": [2.5]}

@@ -118,6 +118,11 @@ def test_small_ones(spark):
     committed, authored = F.lit(None).cast("string"), F.lit("2024-01-01T03:00:00+05:00")
     assert one.select(F.year(X.commit_timestamp(committed, authored))).first()[0] == 2023
     assert one.select(X.commit_timestamp(F.lit("soon"), authored)).first()[0] is None
+    for text in ("2020", "2020-05", "2020-05-01"):
+        assert one.select(X.commit_timestamp(F.lit(text), authored)).first()[0] is None
+    for text in ("20200501 101112", "2020-05-01T10:11:12", "2020/05/01 10:11:12", "20200501101112"):
+        got = one.select(X.commit_timestamp(F.lit(text), authored).cast("string")).first()[0]
+        assert got == "2020-05-01 10:11:12", text
 
 
 @pytest.mark.parametrize(
