@@ -13,11 +13,12 @@ from commitgauge.operators.labels import clean_labels
 from commitgauge.sources.tables import read_lines
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV that ``read_commits_csv`` reads back; one part per task."""
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", max_rows: int = 100_000) -> None:
+    """CSV that ``read_commits_csv`` reads back; files hold ``max_rows`` at most, since each is read by one task."""
     (
         df.write.mode(mode)
         .option("header", True)
+        .option("maxRecordsPerFile", max_rows)
         .option("quote", '"')
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)

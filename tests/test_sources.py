@@ -215,3 +215,10 @@ def test_activity_tables(spark):
     assert "diff" not in slim and "message" not in slim
     files = activity_plan.file_activity_table(commits.rename_older(df)).first()
     assert (files.file, files.lines_added) == ("x.c", 2)
+
+
+def test_csv_files_are_bounded(spark, tmp_path):
+    path = str(tmp_path / "bounded")
+    sinks.write_csv(spark.range(25).coalesce(1), path, max_rows=10)
+    assert len(list((tmp_path / "bounded").glob("*.csv"))) == 3
+    assert spark.read.option("header", True).csv(path).count() == 25
