@@ -12,6 +12,7 @@ from commitgauge import fixed_values as V
 from commitgauge.functions import text as X
 from commitgauge.operators.commits import bind_libraries
 from commitgauge.operators.focus import count_by
+from commitgauge.operators.joins import broadcast_if_short
 
 
 def clean_labels(labels: DataFrame) -> DataFrame:
@@ -38,15 +39,15 @@ def tail_rewrite(
     Only the smallest ordinal among the last ``n`` rows of a file is looked up
     (Spark keeps at most ``n`` rows per file and task on the way), then every row
     is compared with it where it lies. ``salt`` names a column, by default the file.
-    The bounds are one row per hand-made label file, a number bounded by the people
-    who label, and are broadcast, so label rows never move to a hot file.
+    The bounds are one row per file; where the files are few they are broadcast, so
+    label rows never move to a hot file, else they are joined by shuffle.
     """
     if "is_synthetic_commit_id" not in df.columns:
         df = df.withColumn("is_synthetic_commit_id", F.lit(False))
     rank = F.row_number().over(W.partitionBy(by).orderBy(F.desc(ordinal)))
     last = df.select(by, ordinal).withColumn("_rank", rank).where(F.col("_rank") <= n)
     bounds = last.groupBy(by).agg(F.min(ordinal).alias("_bound"))
-    joined = df.join(F.broadcast(bounds), by, "left")
+    joined = df.join(broadcast_if_short(bounds, df.select(by)), by, "left")
     in_tail = F.coalesce(F.col(ordinal) >= F.col("_bound"), F.lit(False))
     new_id = X.synthetic_id(F.col("commit_id"), F.col(salt or by))
     return joined.withColumns(
@@ -86,12 +87,13 @@ def reasons_by_label(
 ) -> DataFrame:
     """Every reason beside the totals of its label; groups stay rows, not one list each.
 
-    Totals are one row per distinct label. Hand-made labels are words for a handful of
-    categories, so these rows are broadcast and reason texts never move to a hot label.
+    Totals are one row per distinct label; where the labels are few they are broadcast
+    and reason texts never move to a hot label, else they are joined by shuffle.
     """
     known = labels.where(F.col(label).isNotNull())
     totals = reason_summary(labels, label, reason)
-    return known.join(F.broadcast(totals), label).withColumn("is_missing", X.is_missing_text(F.col(reason)))
+    totals = broadcast_if_short(totals, known.select(label))
+    return known.join(totals, label).withColumn("is_missing", X.is_missing_text(F.col(reason)))
 
 
 def gold_vs_model(gold: DataFrame, model: DataFrame, trim: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from commitgauge import fixed_values as V
 from commitgauge.functions import text as X
+from commitgauge.operators.joins import broadcast_if_short
 
 
 def hash_order(seed: str, key: Column) -> Column:
@@ -39,9 +40,9 @@ def gold_sample(
 
     Random order is the order of a hash of the id. Text is reduced to one flag
     before anything moves, and both rankings keep ``cap`` ids per project, so a
-    project of any size sends only a few rows into its ranking. The chosen ids are
-    broadcast, so unchosen text never moves: they are at most ``cap`` short rows per
-    project, and a sample to be labelled by hand bounds the number of projects.
+    project of any size sends only a few rows into its ranking. The chosen ids are at
+    most ``cap`` short rows per project; where the number of projects bounds them, they
+    are broadcast and unchosen text never moves, else they are joined by shuffle.
     ``ordinal`` names a column whose order, instead of the hash order, the telling
     rows follow.
     """
@@ -82,7 +83,8 @@ def gold_sample(
         .where(F.col("sample_rank") <= cap)
         .select(*keys, "sample_rank", (F.col("_place._turn") == 0).alias("is_random"))
     )
-    return _join_alike(df, F.broadcast(chosen), keys).dropDuplicates(keys)
+    chosen = broadcast_if_short(chosen, df.select(*by), cap)
+    return _join_alike(df, chosen, keys).dropDuplicates(keys)
 
 
 def to_label(sample: DataFrame) -> DataFrame:
