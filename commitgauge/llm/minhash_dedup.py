@@ -7,6 +7,8 @@ up as soon as the probability of reaching the threshold falls below `miss`. Surv
 Joins whose sides grow with the corpus are sort-merge joins at every size, so that small inputs show the plan of large
 ones. Signatures keep 8 bits a hash: unequal ones agree by chance once in 256, which only makes the bounds looser.
 
+A document that leads many others, and a group of many copies, is cut into slices before it is joined.
+
 Buckets never emit their pairs. Every document of a bucket is compared with one leader, the hub; linked ones become one
 component. Only hubs that still see several components go on: their documents are compared across components within
 tasks of bounded size, and only pairs that the bounds keep leave such a task.
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from commitgauge.llm.common import hide_missing, plain_words, show_missing, stored
 from commitgauge.llm.graph import components
+from commitgauge.operators.joins import hot_join
 
 ROWS, BANDS, BATCH = 5, 48, 48
 #: Most documents and about the most shingles in a block of a region.
@@ -124,6 +127,11 @@ def _signatures(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(map(bytes, column)), np.uint8).reshape(len(column), ROWS * BANDS)
 
 
+def _led(pairs: DataFrame) -> DataFrame:
+    """Pairs of every leader."""
+    return pairs.groupBy("a").agg(F.count("*").alias("n"))
+
+
 def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
     """Pairs (a, b) that the Bayesian bounds keep."""
 
@@ -135,7 +143,8 @@ def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) ->
 
     sa = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa"))
     sb = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
-    kept = pairs.hint("merge").join(sa, "a").join(sb.hint("merge"), "b").mapInPandas(prune, "a long, b long")
+    met = hot_join(pairs, sa, "a", ["b"], _led(pairs), pairs.count())
+    kept = met.join(sb.hint("merge"), "b").mapInPandas(prune, "a long, b long")
     return stored(kept.distinct(), "dedup-likely")
 
 
@@ -162,7 +171,8 @@ def _confirmed(likely: DataFrame, texts: DataFrame, width: int, threshold: float
 
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return likely.join(tb.hint("merge"), "b").join(ta.hint("merge"), "a").mapInPandas(confirm, "a long, b long").distinct()
+    met = hot_join(likely.join(tb.hint("merge"), "b"), ta, "a", ["b"], _led(likely), likely.count())
+    return met.mapInPandas(confirm, "a long, b long").distinct()
 
 
 def _across(
@@ -209,9 +219,9 @@ def _across(
         F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.min("component").alias("lo"), F.max("component").alias("hi")
     )
     still = sizes.filter("n > 2 and lo <> hi").select(
-        "hub", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("s") / BLOCK_SHINGLES)).alias("blocks")
+        "hub", "n", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("s") / BLOCK_SHINGLES)).alias("blocks")
     )
-    opened = placed.join(still, "hub").join(texts.hint("merge"), "doc_id")
+    opened = hot_join(placed, still.drop("n"), "hub", ["doc_id"], still, met.count()).join(texts.hint("merge"), "doc_id")
     opened = opened.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks")).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     )
@@ -244,14 +254,14 @@ def near_duplicates(
     rows = stored(rows, "dedup-signatures")
     nodes = rows.filter("n_shingles > 0 and doc_id is not null")
     alike = (F.first(c).alias(c) for c in ("n_shingles", "bands", "sig"))  # copies have the same
-    copies = stored(nodes.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *alike), "dedup-nodes")
-    sigs = copies.drop("key")
-    copies = copies.select("key", F.col("doc_id").alias("node"))
-    members = rows.select("doc_id", "key", "n_shingles").join(copies.hint("merge"), "key", "left")
+    copies = nodes.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *alike)
+    copies = stored(copies, "dedup-nodes")
+    sigs = copies.drop("key", "n")
 
     bands = sigs.select("doc_id", F.explode("bands").alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("doc_id").alias("hub"))
-    met = bands.join(hubs.hint("merge"), "key").filter("doc_id <> hub")
+    hubs = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    hubs = stored(hubs, "dedup-hubs")
+    met = hot_join(bands, hubs.drop("n"), "key", ["doc_id"], hubs, BANDS * sigs.count()).filter("doc_id <> hub")
     pairs = stored(met.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "dedup-pairs")
     met = pairs.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -263,10 +273,12 @@ def near_duplicates(
     links = stored(links.union(_across(met, labels, sigs, texts, width, threshold, miss)), "dedup-links")
     labels = stored(components(links, "dedup-components"), "dedup-labels")
 
-    result = members.join(labels.withColumnRenamed("component", "found"), members["node"] == labels["node"], "left")
-    component = F.when(
-        F.col("doc_id").isNotNull(), F.coalesce("found", members["node"], "doc_id")
-    )
-    return result.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    classes = copies.select("key", F.col("doc_id").alias("node")).join(labels.hint("merge"), "node", "left")
+    classes = classes.select("key", F.coalesce("component", "node").alias("class"))
+    plain = rows.select("doc_id", "key", "n_shingles")
+    result = hot_join(nodes.select(plain.columns), classes, "key", ["doc_id"], copies, rows.count())
+    alone = plain.filter("n_shingles = 0 or doc_id is null").withColumn("class", F.col("doc_id"))
+    result = result.unionByName(alone).withColumnRenamed("class", "component_id")
+    return result.select("doc_id", "n_shingles", "component_id").withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
