@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commitgauge.llm.common import computed, let, stored, words
+from commitgauge.operators.joins import hot_join
 
 
 def chunk_spans(text: Column, long_words: int) -> Column:
@@ -78,7 +79,8 @@ def repeated_chunks(docs: DataFrame, long_words: int = 50, label: str = "lines")
     """The columns of `docs` with an array `removed` of (start, length, h) of chunks that stand earlier somewhere.
 
     Earlier: in a smaller doc_id, or further up. Chunks are met by hash first and without their texts; then the texts
-    of those that met are compared as bytes with the first of their hash. Two texts under one hash, should that happen,
+    of those that met are compared as bytes with the first of their hash. A chunk that very many documents share is cut
+    into slices for both. Two texts under one hash, should that happen,
     are told apart by grouping on the texts themselves. Rows without id or text are left as they are and meet nothing;
     rows that share an id are one document. The texts are shuffled once, by document.
     """
@@ -87,7 +89,9 @@ def repeated_chunks(docs: DataFrame, long_words: int = 50, label: str = "lines")
     hashed = sure.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.start", "s.length", "s.h")
     hashed = stored(hashed, f"{label}-hashes")
     first = hashed.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
-    met = hashed.join(first.filter("n > 1").select("h", "first"), "h")
+    first = stored(first.filter("n > 1"), f"{label}-repeated")
+    total = hashed.count()
+    met = hot_join(hashed, first.drop("n"), "h", ["doc_id", "start"], first, total)
     lists = met.groupBy("doc_id").agg(
         F.array_sort(
             F.collect_set(
@@ -108,7 +112,9 @@ def repeated_chunks(docs: DataFrame, long_words: int = 50, label: str = "lines")
     texts = listed.filter("met is not null").select("doc_id", F.inline(chunks))
     keepers = texts.filter("is_first").select("h", F.col("chunk").alias("first_chunk")).dropDuplicates(["h"])
     other = stored(
-        texts.filter("not is_first").join(keepers, "h").filter("chunk <> first_chunk").select("doc_id", "start", "chunk"),
+        hot_join(texts.filter("not is_first"), keepers, "h", ["doc_id", "start"], first, total)
+        .filter("chunk <> first_chunk")
+        .select("doc_id", "start", "chunk"),
         f"{label}-collisions",
     )
     gone = F.filter("met", lambda c: ~c["is_first"])
