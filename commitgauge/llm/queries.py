@@ -16,6 +16,7 @@ from commitgauge.llm.packing import pack
 from commitgauge.llm.secret_scan import scan
 from commitgauge.llm.token_counts import Rollups, counts
 from commitgauge.llm.toxicity import toxicity
+from commitgauge.operators.joins import hot_join
 
 
 def _fold(n: int):
@@ -45,8 +46,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four commits: all documents in, exact copies out, German counts revised, and the copies replayed."""
     docs = read_table(spark, sf_dir, "documents")
     rows = stored(counts(docs), "tokens-counts")
-    copy_of = docs.groupBy(F.sha2("text", 256).alias("t")).agg(F.min("doc_id").alias("first"))
-    gone = docs.select("doc_id", F.sha2("text", 256).alias("t")).join(copy_of, "t").filter("doc_id <> first")
+    texts = stored(docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("t")).filter("t is not null"), "tokens-texts")
+    copy_of = texts.groupBy("t").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    copy_of = stored(copy_of, "tokens-copies")
+    gone = hot_join(texts, copy_of.drop("n"), "t", ["doc_id"], copy_of, texts.count()).filter("doc_id <> first")
     gone = gone.select("doc_id", F.lit("delete").alias("op"), *(F.lit(None).cast(t).alias(c) for c, t in (
         ("source", "string"), ("lang", "string"), ("tokenizer", "string"), ("n_tokens", "long"))))
     revised = rows.filter("lang = 'de' and tokenizer = 'words-2'").withColumn("tokenizer", F.lit("words-1"))
