@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commitgauge.llm.common import let, stored, words
+from commitgauge.operators.joins import hot_join
 
 #: What a candidate looks like, and words that name credentials or harmless identifiers.
 RUN = r"[A-Za-z0-9+/_-]{12,}"
@@ -68,7 +69,9 @@ def featured(found: DataFrame, known: DataFrame) -> DataFrame:
         "cid", F.xxhash64("doc_id", "word_index", "value", "before", "after", "path")
     )
     parts = rows.select("cid", F.explode(F.array_distinct(F.split(F.lower("value"), r"[^a-z]+"))).alias("w")).filter("length(w) >= 3")
-    covered = parts.distinct().join(known, "w").groupBy("cid").agg(F.sum(F.length("w")).alias("covered"))
+    parts = parts.distinct()
+    counts = parts.groupBy("w").agg(F.count("*").alias("n"))
+    covered = hot_join(parts, known, "w", ["cid"], counts, parts.count()).groupBy("cid").agg(F.sum(F.length("w")).alias("covered"))
     rows = rows.join(covered, "cid", "left")
     classes = F.regexp_replace(
         F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0"), "[+/_-]+", "_"
@@ -115,7 +118,8 @@ def scan(
     the order of a hash. A text that is missing, empty or without a candidate has no row; repeated rows give repeated
     findings; a missing id stays missing. Where the labels hold one class or none, the score is that class's share.
     """
-    rows = stored(featured(candidates(docs, **columns), dictionary(docs)), "secrets-findings")
+    found = stored(candidates(docs, **columns), "secrets-candidates")
+    rows = stored(featured(found, dictionary(docs)), "secrets-findings")
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     labelled = rows.withColumn("label", label).filter(F.col("label").isNotNull() & may_learn)
     labelled = labelled.orderBy(F.xxhash64("doc_id", "word_index", "value"), "value").limit(max_labelled)
