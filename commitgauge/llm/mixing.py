@@ -89,9 +89,10 @@ def mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of `documents`: whole copies, and a last copy cut to the words it still takes.
 
-    Documents that the mix takes no word of go. The cut copy holds its first words joined by single blanks.
+    Documents that the mix takes no word of go. The cut copy holds its first words joined by single blanks. Rows of one
+    id and size are taken alike, as often as the one that is taken most.
     """
-    kept = mix(docs, **options).filter("taken > 0").select("doc_id", "size", "taken").dropDuplicates(["doc_id", "size"])
+    kept = mix(docs, **options).filter("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
     sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     met = sized.join(kept, (sized["doc_id"].eqNullSafe(kept["doc_id"])) & (sized["size"] == kept["size"]))
     met = met.select(*(sized[c] for c in docs.columns), kept["size"], "taken")
