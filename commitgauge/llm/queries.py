@@ -63,7 +63,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_chunks.repeated_chunks(read_table(spark, sf_dir, "documents"))
+    found = line_chunks.repeated_passages(read_table(spark, sf_dir, "documents"))
     left = line_chunks.without(F.col("text"), F.col("removed"))
     found = computed(found, "doc_id", "text", "removed", left=left)
     lines = F.aggregate("removed", F.lit(0).cast("long"), lambda n, c: n + c["length"])

@@ -176,6 +176,44 @@ def test_line_chunks_find_a_shifted_passage(spark):
     assert n[1] == 0 and min(n[k] for k in (2, 3, 4)) >= 4
 
 
+def brute_passages(rows, most=50):
+    """Lines with a word, of any passage of whole lines of over `most` words that stands earlier without overlap."""
+    seen, gone = {}, {}
+    for doc_id, text in sorted(rows):
+        lines = text.split("\n")
+        sizes = [len(x.encode().split()) for x in lines]
+        gone[doc_id] = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(sizes[a:b]) > most:
+                    at = seen.setdefault("\n".join(lines[a:b]), (doc_id, a))
+                    if at[0] != doc_id or at[1] + b - a <= a:
+                        gone[doc_id] |= {i + 1 for i in range(a, b) if sizes[i]}
+    return gone
+
+
+def test_line_chunks_leave_no_passage_of_short_lines(spark, edges, empty):
+    rng = np.random.default_rng(6)
+    line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    rows = []
+    for k in range(2, 11):  # passages of 2 to 10 lines, some blank, between foreign lines
+        for size in (6, 20, 30):
+            passage = [line(size) if rng.random() > 0.1 else "" for _ in range(k)]
+            passage += [line(55), line(3)] if k == 7 else []
+            for _ in range(3):
+                own = [[line(int(rng.integers(1, 12))) for _ in range(rng.integers(0, 4))] for _ in range(2)]
+                rows.append((len(rows), "\n".join([*own[0], *passage, *own[1]])))
+    rows.append((len(rows), "\n".join(["one two three"] * 60)))
+    found = line_chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    spans = {r.doc_id: [(c.start, c.start + c.length) for c in r.removed] for r in found.collect()}
+    lines = {i: [x for a, b in s for x in range(a, b)] for i, s in spans.items()}
+    assert all(len(x) == len(set(x)) for x in lines.values())
+    must = brute_passages(rows)
+    assert sum(map(bool, must.values())) > 30 and all(must[i] <= set(lines[i]) for i in must)
+    assert set(range(1, 18)).isdisjoint(lines[len(rows) - 1])  # the first run of a periodic text is kept whole
+    assert line_chunks.repeated_passages(edges).count() == len(EDGES) and line_chunks.repeated_passages(empty).count() == 0
+
+
 def test_packing_round_trip(spark, documents, edges, empty):
     from public_tokenizers import path
     from tokenizers import Tokenizer
