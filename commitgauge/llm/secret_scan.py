@@ -16,6 +16,8 @@ from commitgauge.operators.joins import hot_join
 
 #: What a candidate looks like, and words that name credentials or harmless identifiers.
 RUN = r"[A-Za-z0-9+/_-]{12,}"
+#: Marks that end a value within a word, and what stands between a name and its value; a value may be cut by other marks.
+MARK, LINK, LOOK_BACK = r"[\"'`=:,;&?|<>(){}\[\]]", r"^[\"'`\])]*[=:]>?[\"'`\[({]*$", 4
 CREDENTIAL = r"(?i)pass(word|wd|phrase)?|secret|token|api_?key|access_?key|auth|bearer|credential|private_?key"
 HARMLESS = r"(?i)commit|sha\d*|md5|hash|checksum|uuid|guid|order|invoice|phone|tel|isbn|card|version"
 PREFIX = r"^(AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|sk-|sk_live_|eyJ)"
@@ -33,8 +35,14 @@ def _share(value: Column, pattern: str) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", path_col: str = "source") -> DataFrame:
-    """Rows (doc_id, word_index, value, word, before, after, path): words that hold a run of 12 or more characters of
-    keys with a digit in it; the last such run is the value. before: the three words ahead, after: the next one."""
+    """Rows (doc_id, word_index, run_index, value, ahead, quoted, leads, before, after, path): every run of 12 or more
+    characters of keys with a digit in it, numbered among all runs of its word.
+
+    ahead: the text just before the run, from the last mark within the word on, with the run ahead of that if the mark
+    assigns to it. leads: no mark stands between the word's start and the run, so the words ahead of the word are just
+    before it as well. before: those three words if it leads, else `ahead`. after: the next word for the word's last run.
+    So the rows of a word together are as long as the word, apart from a fixed factor.
+    """
 
     def found(all_words: Column) -> Column:
         def seen(w: Column, i: Column) -> Column:
@@ -47,13 +55,35 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", path_col: str = "source"
 
         return F.filter(F.transform(all_words, seen), lambda s: s.isNotNull())
 
+    def each_run(runs: Column) -> Column:
+        """`between` has one text more than there are runs: what stands ahead of each, and behind the last."""
+
+        def of_between(between: Column) -> Column:
+            def placed(value: Column, k: Column) -> Column:
+                back = F.sequence(k, F.greatest(k - LOOK_BACK, F.lit(0)), F.lit(-1))
+                marked = F.filter(back, lambda i: (i == 0) | F.get(between, i).rlike(MARK))
+                base = F.coalesce(F.get(marked, 0), k)
+                name = F.when(F.get(between, base).rlike(LINK), F.get(runs, base - 1))
+                return F.struct(
+                    k.alias("run_index"), value.alias("value"),
+                    F.concat(F.coalesce(name, F.lit("")), F.get(between, base)).alias("ahead"),
+                    F.get(between, k).rlike("[\"'`]$").alias("quoted"),
+                    (base == 0).alias("leads"), (k == F.size(runs) - 1).alias("is_last"),
+                )
+
+            return F.filter(F.transform(runs, placed), lambda r: r["value"].rlike("[0-9]"))
+
+        return let(F.split("s.word", RUN, -1), of_between)
+
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.explode(let(words(F.col("text")), found)).alias("s"))
-    runs = F.filter(F.regexp_extract_all("s.word", F.lit(RUN), F.lit(0)), lambda r: r.rlike("[0-9]"))
-    rows = rows.select(
-        "doc_id", F.col("s.i").alias("word_index"), F.element_at(F.when(F.size(runs) > 0, runs), -1).alias("value"),
-        "s.word", "s.before", F.coalesce("s.after", F.lit("")).alias("after"), F.coalesce("path", F.lit("")).alias("path"),
+    each = let(F.regexp_extract_all("s.word", F.lit(RUN), F.lit(0)), each_run)
+    rows = rows.select("doc_id", "path", F.col("s.i").alias("word_index"), "s.before", "s.after", F.inline(each))
+    return rows.select(
+        "doc_id", "word_index", "run_index", "value", "ahead", "quoted", "leads",
+        F.when(F.col("leads"), F.col("before")).otherwise(F.col("ahead")).alias("before"),
+        F.when(F.col("is_last"), F.coalesce("after", F.lit(""))).otherwise(F.lit("")).alias("after"),
+        F.coalesce("path", F.lit("")).alias("path"),
     )
-    return rows.filter("value is not null")
 
 
 def dictionary(docs: DataFrame, least: int = 5) -> DataFrame:
@@ -66,7 +96,7 @@ def featured(found: DataFrame, known: DataFrame) -> DataFrame:
     """Candidates with their features; coverage is the share of characters in letter runs that are in the dictionary."""
     value = F.col("value")
     rows = found.withColumn(
-        "cid", F.xxhash64("doc_id", "word_index", "value", "before", "after", "path")
+        "cid", F.xxhash64("doc_id", "word_index", "run_index", "value", "before", "after", "path")
     )
     parts = rows.select("cid", F.explode(F.array_distinct(F.split(F.lower("value"), r"[^a-z]+"))).alias("w")).filter("length(w) >= 3")
     parts = parts.distinct()
@@ -77,9 +107,9 @@ def featured(found: DataFrame, known: DataFrame) -> DataFrame:
         F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0"), "[+/_-]+", "_"
     )
     flag = lambda c: c.cast("double")
-    ahead = F.expr("substring_index(word, value, 1)")
+    ahead = F.col("ahead")
     return rows.select(
-        "doc_id", "word_index", "value", "before", "path",
+        "doc_id", "word_index", "run_index", "value", "before", "path",
         F.length(value).cast("double").alias("length"),
         ((F.length(classes) - 1) / F.length(value)).alias("transitions"),
         _share(value, "[0-9]").alias("digit_share"),
@@ -90,8 +120,8 @@ def featured(found: DataFrame, known: DataFrame) -> DataFrame:
         flag(value.rlike("^[0-9a-fA-F]+$")).alias("is_hex"),
         F.least(F.lit(1.0), F.coalesce("covered", F.lit(0)) / F.length(value)).alias("coverage"),
         flag(value.rlike(PREFIX)).alias("known_prefix"),
-        flag(ahead.rlike("[=:]") | F.col("before").rlike(r"(^|\s)(=|:|:=|=>)$|[=:]$")).alias("assigned"),
-        flag(ahead.rlike("[\"'`]$")).alias("quoted"),
+        flag(ahead.rlike("[=:]") | (F.col("leads") & F.col("before").rlike(r"(^|\s)(=|:|:=|=>)$|[=:]$"))).alias("assigned"),
+        flag(F.col("quoted")).alias("quoted"),
         flag(ahead.rlike(CREDENTIAL) | F.col("before").rlike(CREDENTIAL)).alias("credential_near"),
         flag(F.concat_ws(" ", "before", "after").rlike(HARMLESS)).alias("harmless_near"),
         F.size(F.split("path", "/")).cast("double").alias("path_depth"),
@@ -111,7 +141,7 @@ def scan(
     seed: int = 13,
     **columns,
 ) -> DataFrame:
-    """Rows (doc_id, word_index, value, the features, score, is_secret), one a candidate of every whole text.
+    """Rows (doc_id, word_index, run_index, value, the features, score, is_secret), one a candidate of every whole text.
 
     `label` gives 1.0 or 0.0 for a finding with a verdict and NULL for others, over the columns of `featured`;
     `may_learn` says which findings may be learned from. The forest learns from `max_labelled` of them at most, first in
@@ -122,7 +152,7 @@ def scan(
     rows = stored(featured(found, dictionary(docs)), "secrets-findings")
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     labelled = rows.withColumn("label", label).filter(F.col("label").isNotNull() & may_learn)
-    labelled = labelled.orderBy(F.xxhash64("doc_id", "word_index", "value"), "value").limit(max_labelled)
+    labelled = labelled.orderBy(F.xxhash64("doc_id", "word_index", "value"), "value", "run_index").limit(max_labelled)
     labelled = stored(labelled.select("features", "label"), "secrets-labelled")
     classes = {r["label"] for r in labelled.select("label").distinct().collect()}
     if classes == {0.0, 1.0}:
@@ -131,5 +161,5 @@ def scan(
         rows = rows.withColumn("score", F.get(vector_to_array("probability"), 1))
     else:
         rows = rows.withColumn("score", F.lit(max(classes, default=0.0)))
-    rows = rows.select("doc_id", "word_index", "value", *FEATURES, F.round("score", 6).alias("score"))
+    rows = rows.select("doc_id", "word_index", "run_index", "value", *FEATURES, F.round("score", 6).alias("score"))
     return rows.withColumn("is_secret", F.col("score") >= threshold)
