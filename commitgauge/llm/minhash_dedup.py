@@ -218,7 +218,7 @@ def _across(
     sizes = placed.groupBy("hub").agg(
         F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.min("component").alias("lo"), F.max("component").alias("hi")
     )
-    still = sizes.filter("n > 2 and lo <> hi").select(
+    still = sizes.filter("n > 1 and lo <> hi").select(
         "hub", "n", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("s") / BLOCK_SHINGLES)).alias("blocks")
     )
     opened = hot_join(placed, still.drop("n"), "hub", ["doc_id"], still, met.count()).join(texts.hint("merge"), "doc_id")

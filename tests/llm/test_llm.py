@@ -87,6 +87,16 @@ def test_near_duplicates_match_brute_force(spark, documents):
     assert (found.kept == (found.doc_id == found.component_id)).all()
 
 
+def test_a_hub_with_two_other_documents_is_a_region(spark):
+    words = [f"word{i}" for i in range(400)]
+    texts = [words[:200], words[200:], [*words[200:399], "end"]]  # the hub is linked with none, the others are
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    met = spark.createDataFrame([(0, 1), (0, 2)], "hub long, doc_id long")
+    labels = spark.createDataFrame([], "node long, component long")
+    links = minhash_dedup._across(met, labels, minhash_dedup.signed(docs, 5, 11), docs, 5, 0.75, 1e-6)
+    assert [tuple(r) for r in links.collect()] == [(1, 2)]
+
+
 def test_near_duplicates_edges(edges, empty):
     found = minhash_dedup.near_duplicates(edges).collect()
     assert len(found) == len(EDGES) and minhash_dedup.near_duplicates(empty).count() == 0
