@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from commitgauge.llm.filter_audit import CAPITALS_PERCENT, DISTINCT_PERCENT, FEWEST_WORDS, SYMBOLS as AUDIT_SYMBOLS
 from commitgauge.llm.quality_rules import BOILERPLATE, LINE_END, MARKS, SEPARATORS, SYMBOLS
 from commitgauge.llm.token_counts import VERSIONS
 
@@ -108,7 +109,50 @@ counted AS (
 SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
 FROM counted GROUP BY source, lang, tokenizer"""
 
+FILTER_AUDIT = f"""
+WITH letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+steps AS (SELECT o, s AS step, substr(o, s, 1) AS f, substr(o, 1, s - 1) AS before FROM orders, range(1, 6) t(s)),
+docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+flags AS (
+  SELECT x.doc_id, part,
+         len(w) < {FEWEST_WORDS} AS a, 100 * len(list_distinct(w)) < {DISTINCT_PERCENT} * len(w) AS b,
+         100 * len(regexp_extract_all(t, '[A-Z]')) > {CAPITALS_PERCENT} * length(t) AS c,
+         regexp_matches(t, '{AUDIT_SYMBOLS}') AS d,
+         EXISTS (SELECT 1 FROM docs y WHERE y.t = x.t AND y.doc_id < x.doc_id) AS e,
+         x.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good,
+         x.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic
+  FROM docs x),
+judged AS (
+  SELECT part, o, step, f, good, toxic,
+         CASE f WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS fails,
+         (contains(before, 'A') AND a) OR (contains(before, 'B') AND b) OR (contains(before, 'C') AND c)
+           OR (contains(before, 'D') AND d) OR (contains(before, 'E') AND e) AS earlier,
+         (a::INT + b::INT + c::INT + d::INT + e::INT) AS n_fails
+  FROM flags, steps),
+counted AS (
+  SELECT part, o, step, f,
+         count(*) FILTER (WHERE NOT fails AND NOT earlier) AS kept,
+         count(*) FILTER (WHERE fails AND NOT earlier) AS removed,
+         count(*) FILTER (WHERE fails AND earlier) AS redundant,
+         count(*) FILTER (WHERE fails AND n_fails = 1) AS unique_fails,
+         count(*) FILTER (WHERE fails AND NOT earlier AND good) AS good_lost,
+         count(*) FILTER (WHERE fails AND NOT earlier AND toxic) AS toxic_lost
+  FROM judged GROUP BY part, o, step, f)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+       CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted"""
+
 ORACLES: dict[str, str] = {
+    "op12_filter_audit": FILTER_AUDIT,
     "op2_quality_rules": QUALITY,
     "op4_mixing": MIXING,
     "op5_token_counts": TOKENS,
