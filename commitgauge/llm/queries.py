@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitgauge.llm import filter_audit, line_chunks, mixing, quality_rules
+from commitgauge.llm import filter_audit, line_chunks, token_codes, mixing, quality_rules
 from commitgauge.llm.common import computed, read_table, shared_folder, stored
 from commitgauge.llm.language_model import language_scores
 from commitgauge.llm.minhash_dedup import near_duplicates
@@ -113,10 +113,17 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op13_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written as directly addressable codes, and every document read back from them."""
+    path = f"{shared_folder(spark)}/token-codes-{uuid.uuid4().hex}"
+    return token_codes.read_codes(token_codes.write_codes(read_table(spark, sf_dir, "documents"), path))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_dedup, op2_quality_rules, op3_language_model, op4_mixing, op5_token_counts, op6_line_dedup,
         op7_toxicity, op8_secret_scan, op9_packing, op10_neighbours, op12_filter_audit,
+        op13_token_codes,
     )
 }
