@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitgauge.llm import filter_audit, line_chunks, token_codes, mixing, quality_rules
+from commitgauge.llm import conversation_repair, filter_audit, line_chunks, token_codes, mixing, quality_rules
 from commitgauge.llm.common import computed, read_table, shared_folder, stored
 from commitgauge.llm.language_model import language_scores
 from commitgauge.llm.minhash_dedup import near_duplicates
@@ -109,6 +109,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -123,7 +127,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_dedup, op2_quality_rules, op3_language_model, op4_mixing, op5_token_counts, op6_line_dedup,
-        op7_toxicity, op8_secret_scan, op9_packing, op10_neighbours, op12_filter_audit,
+        op7_toxicity, op8_secret_scan, op9_packing, op10_neighbours, op11_conversation_repair, op12_filter_audit,
         op13_token_codes,
     )
 }
