@@ -716,3 +716,47 @@ ORACLES["text_functions"] = f"""SELECT doc_id, text AS sanitized, {_STRIPPED} AS
        ['XML Parsing', 'HTTP/Net', 'Database', NULL][CAST(doc_id % 4 AS BIGINT) + 1] AS domain,
        CASE text[1] WHEN '+' THEN 'added' WHEN '-' THEN 'removed' WHEN chr(92) THEN 'marker' ELSE 'context' END AS kind
 FROM documents"""
+
+
+# ---- densities ----------------------------------------------------------------------
+
+
+def density(values: str, points: int, cut: float, rule: str) -> str:
+    """The binned kernel density of ``values`` (a CTE with columns g, v) at even grid points of each group."""
+    spread = "least(sd, (q75 - q25) / 1.34)" if rule == "nrd0" else "sd"
+    factor = 0.9 if rule == "nrd0" else 1.0
+    return f"""d_vals AS (SELECT g, v FROM ({values}) WHERE v IS NOT NULL AND NOT isnan(v)),
+d_stats AS (
+  SELECT g, count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi,
+         quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75
+  FROM d_vals GROUP BY g),
+d_bw AS (
+  SELECT *, {factor} * coalesce(nullif({spread}, 0), nullif(sd, 0), nullif(abs(lo), 0), 1.0)
+            * pow(n::DOUBLE, -0.2) AS bandwidth
+  FROM d_stats),
+d_grid AS (SELECT *, lo - {cut} * bandwidth AS start, (hi - lo + 2 * {cut} * bandwidth) / {points - 1} AS step FROM d_bw),
+d_placed AS (
+  SELECT d_grid.g, c, (v - start) / step AS pos
+  FROM (SELECT g, v, count(*) AS c FROM d_vals GROUP BY g, v) counted JOIN d_grid ON counted.g IS NOT DISTINCT FROM d_grid.g),
+d_lowed AS (SELECT g, c, pos, least(floor(pos), {points - 2})::BIGINT AS k FROM d_placed),
+d_bins AS (
+  SELECT g, k, sum(w) AS w FROM (
+    SELECT g, k, c * (1 - (pos - k)) AS w FROM d_lowed UNION ALL SELECT g, k + 1 AS k, c * (pos - k) AS w FROM d_lowed)
+  GROUP BY g, k),
+d_pts AS (SELECT *, unnest(range(0, {points})) AS point FROM d_grid),
+curve AS (
+  SELECT d_pts.g, point, start + point * step AS x,
+         sum(w * exp(-0.5 * ((point - k) * step / bandwidth) * ((point - k) * step / bandwidth)) / sqrt(2 * pi()))
+           / (n * bandwidth) AS density,
+         bandwidth, n
+  FROM d_pts JOIN d_bins ON d_pts.g IS NOT DISTINCT FROM d_bins.g
+  GROUP BY d_pts.g, point, start, step, bandwidth, n)"""
+
+
+ORACLES["ccs_density"] = f"""WITH {SCORED}, {density("SELECT language AS g, ccs AS v FROM scored", 100, 2.0, "scott")}
+SELECT g AS language, CAST(point AS INTEGER) AS point, round(x, 6) AS x, round(density, 6) AS density,
+       round(bandwidth, 6) AS bandwidth, CAST(n AS BIGINT) AS n FROM curve"""
+ORACLES["gini_density"] = f"""WITH {gini("language, repo, year")},
+{density("SELECT language AS g, gini AS v FROM ginis", 512, 3.0, "nrd0")}
+SELECT g AS language, CAST(point AS INTEGER) AS point, round(x, 6) AS x, round(density, 6) AS density,
+       round(bandwidth, 6) AS bandwidth, CAST(n AS BIGINT) AS n FROM curve"""

@@ -15,6 +15,7 @@ from commitgauge.operators import (
     bayes,
     commits,
     concentration,
+    density,
     diffs,
     focus,
     labels,
@@ -256,6 +257,13 @@ def gini_distribution(spark, sf):
     return rounded(concentration.gini_distribution(ginis), "q25", "q50", "q75")
 
 
+@query
+def gini_density(spark, sf):
+    """The curve of the Gini violin by language: bandwidth nrd0, 512 points, three bandwidths beyond the data."""
+    ginis = concentration.gini_by(V.commits_v(spark, sf), LIBRARY_YEAR)
+    return rounded(density.density(ginis, "gini", ["language"], points=512, cut=3.0, rule="nrd0"), "x", "density", "bandwidth")
+
+
 @query
 def author_rank(spark, sf):
     return concentration.author_rank(V.commits_v(spark, sf), ("language", "year"))
@@ -407,6 +415,13 @@ def ccs_quartiles(spark, sf):
     return rounded(scoring.ccs_quartiles(scored(spark, sf)), "q25", "q50", "q75")
 
 
+@query
+def ccs_density(spark, sf):
+    """The curve of the complexity violin by language: Scott's bandwidth, 100 points, two bandwidths beyond the data."""
+    curve = density.density(scored(spark, sf), "ccs_score", ["language"], points=100, cut=2.0, rule="scott")
+    return rounded(curve, "x", "density", "bandwidth")
+
+
 @query
 def plus_one_scores(spark, sf):
     keys = ["language", "repo", "commit_id"]
