@@ -760,3 +760,5 @@ ORACLES["gini_density"] = f"""WITH {gini("language, repo, year")},
 {density("SELECT language AS g, gini AS v FROM ginis", 512, 3.0, "nrd0")}
 SELECT g AS language, CAST(point AS INTEGER) AS point, round(x, 6) AS x, round(density, 6) AS density,
        round(bandwidth, 6) AS bandwidth, CAST(n AS BIGINT) AS n FROM curve"""
+
+ORACLES["diff_lines_from_parts"] = ORACLES["diff_lines"]

@@ -16,6 +16,7 @@ from commitgauge.operators import (
     commits,
     concentration,
     density,
+    diff_parts,
     diffs,
     focus,
     labels,
@@ -579,6 +580,23 @@ def diff_lines(spark, sf):
     )
 
 
+@query
+def diff_lines_from_parts(spark, sf):
+    """diff_lines from diffs stored as parts of 256 lines: a segmented scan instead of one row a diff."""
+    parts = diff_parts.cut_into_parts(V.diffs_v(spark, sf))
+    lines = diff_parts.lines_of_parts(parts).groupBy("commit_id", "file_no", "hunk_no", "kind").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.max("line_no").cast("int").alias("last_line"),
+        F.sum(F.length("text")).alias("n_chars"),
+    )
+    paths = diff_parts.file_paths(parts)
+    joined = lines.alias("l").join(paths.alias("p"), F.col("l.commit_id").eqNullSafe(F.col("p.commit_id")) & (F.col("l.file_no") == F.col("p.file_no")))
+    return joined.select(
+        "l.commit_id", F.col("l.file_no").cast("int").alias("file_no"), F.col("l.hunk_no").cast("int").alias("hunk_no"),
+        "p.path", "l.kind", "l.n_lines", "l.last_line", "l.n_chars",
+    )
+
+
 @query
 def commit_stats(spark, sf):
     return diffs.commit_stats(V.diffs_v(spark, sf)).select("commit_id", "entropy", "churn")
