@@ -26,6 +26,7 @@ FEWEST_WORDS = 200
 DISTINCT_PERCENT = 50
 CAPITALS_PERCENT = 3
 SYMBOLS = "[#$%&*|]"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Every order of the filters, with each step's filter bit and the bits of the filters before it (600 rows).
 ORDERS = [
@@ -36,21 +37,21 @@ ORDERS = [
 
 
 def failures(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, part, and the bit combination ``mask`` of the filters it fails (bit k: letter k of
-    ``LETTERS``)."""
+    """Per distinct (doc_id, text digest, part) of ``docs``: the bit combination ``mask`` of the filters its rows fail
+    (bit k: letter k of ``LETTERS``) and ``rows``, how many rows of the input it stands for."""
     text = F.coalesce(F.col("text"), F.lit(""))
     w = words(F.col("text"))
-    rows = docs.select(
+    keys = [
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"),
-        text.alias("t"),
         F.unhex(F.sha2(text, 256)).alias("h"),
-        F.size(w).alias("n"),
-        F.size(F.array_distinct(w)).alias("distinct"),
-        F.length(F.regexp_replace(text, "[^A-Z]", "")).alias("capitals"),
-        F.length(text).alias("points"),
-    )
-    plain = rows.select(
+    ]
+    capitals = F.length(text) - F.length(F.translate(text, CAPITALS, ""))
+    measured = docs.select(
+        *keys, F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct"), capitals.alias("capitals"),
+        F.length(text).alias("points"), text.rlike(SYMBOLS).alias("symbol"),
+    )
+    plain = measured.select(
         "doc_id",
         "h",
         "part",
@@ -58,19 +59,22 @@ def failures(docs: DataFrame) -> DataFrame:
             F.when(F.col("n") < FEWEST_WORDS, 1).otherwise(0)
             + F.when(100 * F.col("distinct") < DISTINCT_PERCENT * F.col("n"), 2).otherwise(0)
             + F.when(100 * F.col("capitals") > CAPITALS_PERCENT * F.col("points"), 4).otherwise(0)
-            + F.when(F.col("t").rlike(SYMBOLS), 8).otherwise(0)
+            + F.when(F.col("symbol"), 8).otherwise(0)
         ).alias("bits"),
+        F.lit(1).alias("row"),
     )
-    # E: a row whose text stands under a smaller doc_id. The witness of each text is its smallest id.
-    first = rows.filter("doc_id is not null").groupBy("h", "t").agg(F.min("doc_id").alias("first"))
-    x, y = rows.alias("x"), first.alias("y")
-    copies = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.t") == F.col("y.t")) & (F.col("y.first") < F.col("x.doc_id")), "left_semi")
-    copies = copies.select("doc_id", "h", F.lit(16).alias("bits"))
-    # A row is known by its id and text; repeated rows of one id and text fail the same filters.
-    ids = plain.select("doc_id", "h", "bits").unionByName(copies)
-    masks = ids.groupBy(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h")).agg(F.bit_or("bits").alias("mask"))
-    joined = plain.join(masks, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("h") == F.col("m_h")), "left")
-    return joined.select("doc_id", "part", F.coalesce("mask", "bits").alias("mask"))
+    # E: a row whose text stands under a smaller doc_id; the witness of each text is its smallest id. The text is
+    # shuffled once, by digest: the witnesses and the semi-join both keep that partitioning. Texts are compared outside
+    # the join keys for that reason. A group of copies is one key; its task streams it against a single witness.
+    texts = docs.select(*keys, text.alias("t")).filter("doc_id is not null").repartition("h")
+    first = texts.groupBy("h", "t").agg(F.min("doc_id").alias("first"))
+    x, y = texts.alias("x"), first.alias("y")
+    same_text = ~(F.col("x.t") < F.col("y.t")) & ~(F.col("x.t") > F.col("y.t"))
+    copies = x.join(y, (F.col("x.h") == F.col("y.h")) & same_text & (F.col("y.first") < F.col("x.doc_id")), "left_semi")
+    copies = copies.select("doc_id", "h", "part", F.lit(16).alias("bits"), F.lit(0).alias("row"))
+    # Repeated rows of one id and text fail the same filters: they are one key standing for several rows.
+    ids = plain.unionByName(copies)
+    return ids.groupBy("doc_id", "h", "part").agg(F.bit_or("bits").alias("mask"), F.sum("row").alias("rows"))
 
 
 def _labelled(labels: DataFrame, name: str) -> Column:
@@ -84,7 +88,8 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
     marks = marks.filter("doc_id is not null").groupBy("doc_id").agg(_labelled(marks, "quality"), _labelled(marks, "toxic"))
     found = failures(docs).join(marks, "doc_id", "left")
-    combos = found.groupBy("part", "mask", F.coalesce("quality", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic")).count()
+    good, toxic = F.coalesce("quality", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic")
+    combos = found.groupBy("part", "mask", good, toxic).agg(F.sum("rows").alias("count"))
     steps = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(s).alias("s"), F.lit(b).alias("b"), F.lit(p).alias("p")) for o, s, b, p in ORDERS))
     each = combos.select("part", "mask", "good", "toxic", "count", F.explode(steps).alias("x"))
     fails = (F.col("mask").bitwiseAND(F.col("x.b")) != 0)
