@@ -280,9 +280,25 @@ e AS (SELECT first(commits ORDER BY year) AS c1, last(commits ORDER BY year) AS
 SELECT y1 || '–' || y2 AS years, round(100 * (c2 - c1)::DOUBLE / c1, 1) AS commits_change,
        round(100 * (m2 - m1)::DOUBLE / m1, 1) AS maintainers_change,
        round(100 * (p2 - p1) / p1, 1) AS commits_per_maintainer_change FROM e"""
-ORACLES["grouped_regression"] = """SELECT p_type AS language, round(regr_slope(p_retailprice, p_size), 6) AS slope,
-       round(regr_intercept(p_retailprice, p_size), 4) AS intercept, round(regr_r2(p_retailprice, p_size), 6) AS r2,
-       count(*) AS n FROM part GROUP BY p_type"""
+ORACLES["grouped_regression"] = """WITH fit AS (
+  SELECT p_type AS language, regr_slope(p_retailprice, p_size) AS slope, regr_intercept(p_retailprice, p_size) AS intercept,
+         regr_r2(p_retailprice, p_size) AS r2, regr_count(p_retailprice, p_size) AS n, regr_sxx(p_retailprice, p_size) AS sxx,
+         regr_syy(p_retailprice, p_size) AS syy, regr_sxy(p_retailprice, p_size) AS sxy
+  FROM part GROUP BY p_type),
+t AS (SELECT *, n - 2 AS v, CASE WHEN n >= 3 AND sxx > 0 THEN sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2) / sxx) END AS se,
+             n >= 3 AND sxx > 0 AND syy - sxy * sxy / sxx > syy * 1e-14 AS usable FROM fit),
+a AS (SELECT *, CASE WHEN usable THEN atan(abs(slope / se) / sqrt(n - 2.0)) END AS a FROM t),
+s AS (SELECT *, CASE WHEN usable THEN list_sum(list_transform(range(1, CAST(v // 2 + 1 AS BIGINT)), lambda k:
+          CASE WHEN v % 2 = 1
+               THEN pow(cos(a), 2 * k - 1) * list_product(list_concat([1.0::DOUBLE],
+                    list_transform(range(1, k), lambda j: 2.0::DOUBLE * j / (2 * j + 1))))
+               ELSE pow(cos(a), 2 * k - 2) * list_product(list_concat([1.0::DOUBLE],
+                    list_transform(range(1, k), lambda j: (2.0::DOUBLE * j - 1) / (2 * j)))) END)) END AS series
+      FROM a)
+SELECT language, round(slope, 6) AS slope, round(intercept, 4) AS intercept, round(r2, 6) AS r2, n,
+       round(se, 6) AS slope_error,
+       round(CASE WHEN NOT usable THEN NULL WHEN v % 2 = 1 THEN 1 - 2 / pi() * (a + sin(a) * coalesce(series, 0))
+                  ELSE 1 - sin(a) * coalesce(series, 0) END, 6) AS p_value FROM s"""
 DEGREES = """edges AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem),
 nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
 ins AS (SELECT dst AS node, count(*) AS n_in FROM edges GROUP BY dst),

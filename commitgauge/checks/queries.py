@@ -336,7 +336,7 @@ def first_last_change(spark, sf):
 @query
 def grouped_regression(spark, sf):
     fits = trends.grouped_regression(V.packages_v(spark, sf), "sourcerank", "dependents", ["language"])
-    return rounded(rounded(fits, "slope", "r2"), "intercept", digits=4)
+    return rounded(rounded(fits, "slope", "r2", "slope_error", "p_value"), "intercept", digits=4)
 
 
 @query
