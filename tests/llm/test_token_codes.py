@@ -42,7 +42,7 @@ def test_round_trip_of_the_documents(spark, documents):
 
 
 def test_round_trip_edges(spark):
-    long = "word " * 100_000 + "<|endoftext|> 😀 é"
+    long = "word " * 100_000 + "<|endoftext|> 😀 é <|endoftext|>x"
     rows = [(5, None), (None, "no id"), (3, ""), (3, "same id"), (3, "same id"), (1, long), (1 << 60, "large"), (None, None)]
     assert round_trip(spark, rows, block_ids=64, width=4) == brute(rows)
     empty = spark.createDataFrame([], SCHEMA)
