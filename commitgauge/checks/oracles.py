@@ -778,3 +778,4 @@ SELECT g AS language, CAST(point AS INTEGER) AS point, round(x, 6) AS x, round(d
        round(bandwidth, 6) AS bandwidth, CAST(n AS BIGINT) AS n FROM curve"""
 
 ORACLES["diff_lines_from_parts"] = ORACLES["diff_lines"]
+ORACLES["classify_documents_in_shards"] = ORACLES["classify_documents"]

@@ -12,6 +12,7 @@ from commitgauge.functions import text as X
 from commitgauge.functions.diffs import line_kind
 from commitgauge.operators import (
     activity,
+    batches,
     bayes,
     commits,
     concentration,
@@ -666,6 +667,15 @@ def classify_documents(spark, sf):
     return bayes.classify(bayes.train_naive_bayes(docs.join(known, "doc_id")), docs, "doc_id")
 
 
+@query
+def classify_documents_in_shards(spark, sf):
+    """classify_documents through the ledger of shards: a rerun of the same tables and model goes on where it stopped."""
+    docs, known = labelled(spark, sf)
+    model = bayes.train_naive_bayes(docs.join(known, "doc_id"))
+    folder = f"{batches.shared_folder(spark)}/classified-{batches.run_name('classify_documents', 'staged', sf)}"
+    return batches.classify_in_shards(model, docs, "doc_id", folder).select("doc_id", "predicted")
+
+
 @query
 def classifier_holdout(spark, sf):
     """Right answers of a classifier trained on the training part alone, in both parts."""
