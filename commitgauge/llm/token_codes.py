@@ -178,7 +178,8 @@ def write_codes(docs: DataFrame, path: str, block_ids: int = BLOCK_IDS, width: i
             yield flush()
 
     ordered = docs.select(hide_missing("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # Ranges by id alone: the bounds are sampled on the driver, and texts would go there with them.
+    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     ordered.mapInPandas(blocks, FILE_COLUMNS).write.parquet(path)
     return docs.sparkSession.read.schema(FILE_COLUMNS).parquet(path)
