@@ -7,6 +7,7 @@ several most probable ones and reranked there by the exact cosine.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,6 +119,32 @@ def usable_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return good.filter(F.size("v") == (sizes[0]["n"] if sizes else -1))
 
 
+def fitted_router(good: DataFrame, sample: int, parts: int, visit: int, seed: int):
+    """Partitions and classifier fitted in one executor task on the first ``sample`` vectors in the order of a hash of
+    their ids; the driver receives only the weights. Fewer than 8 sampled vectors a part leave one part (no weights)."""
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = [pdf for pdf in batches if len(pdf)]
+        few = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({"v": []})
+        if len(few) < 8 * parts:
+            yield pd.DataFrame({"weights": [b""], "parts": [1]})
+            return
+        rng = np.random.default_rng(seed)
+        x = unit(np.stack(few["v"]))
+        graph = neighbour_graph(x, 10)
+        part = balanced_partition(x, graph, parts, 8, rng)
+        one = np.eye(parts, dtype=np.float32)[part]
+        soft = sum(one[graph[:, j]] for j in range(graph.shape[1])) * (0.8 / graph.shape[1]) + one * 0.2
+        w = train_router(x, soft, 64, 1500, rng)
+        yield pd.DataFrame({"weights": [pickle.dumps([np.asarray(a, np.float64) for a in w])], "parts": [parts]})
+
+    few = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).repartition(1)
+    row = few.mapInPandas(fit, "weights binary, parts int").first()
+    if row is None or row["parts"] == 1:
+        return None, 1, 1
+    return pickle.loads(row["weights"]), parts, visit
+
+
 def search(
     table: DataFrame,
     is_query,
@@ -140,17 +167,7 @@ def search(
     anywhere; clustered ones need far fewer parts. Fewer than 8 sampled vectors a part leave one part, searched whole.
     """
     good = stored(usable_vectors(table, id_col, vector_col).dropDuplicates(["vec_id"]), "ann-vectors")
-    few = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
-    rng = np.random.default_rng(seed)
-    parts, visit = (parts, visit) if len(few) >= 8 * parts else (1, 1)
-    weights = None
-    if parts > 1:
-        x = unit(np.stack(few["v"]))
-        graph = neighbour_graph(x, 10)
-        part = balanced_partition(x, graph, parts, 8, rng)
-        one = np.eye(parts, dtype=np.float32)[part]
-        soft = sum(one[graph[:, j]] for j in range(graph.shape[1])) * (0.8 / graph.shape[1]) + one * 0.2
-        weights = train_router(x, soft, 64, 1500, rng)
+    weights, parts, visit = fitted_router(good, sample, parts, visit, seed)
 
     def placed(several: int):
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
