@@ -779,3 +779,6 @@ SELECT g AS language, CAST(point AS INTEGER) AS point, round(x, 6) AS x, round(d
 
 ORACLES["diff_lines_from_parts"] = ORACLES["diff_lines"]
 ORACLES["classify_documents_in_shards"] = ORACLES["classify_documents"]
+# Exact while a group holds fewer than about 4,096 authors (the sketch keeps their hashes); an estimate beyond.
+ORACLES["contributors_from_sketches"] = f"""WITH {COMMITS}
+SELECT language, year, {DISTINCT_AUTHORS} AS contributors FROM commits GROUP BY language, year"""

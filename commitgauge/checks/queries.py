@@ -25,6 +25,7 @@ from commitgauge.operators import (
     predictions,
     sampling,
     scoring,
+    sketches,
     trends,
 )
 from commitgauge.plans import history
@@ -140,6 +141,13 @@ def contributors_by_language(spark, sf):
     return activity.contributors(V.commits_v(spark, sf), "language")
 
 
+@query
+def contributors_from_sketches(spark, sf):
+    """Contributors by language and year, united from sketches stored per library and month."""
+    stored = sketches.author_sketches(V.commits_v(spark, sf))
+    return sketches.contributors_from(stored, ["language", "year"]).select("language", "year", "contributors")
+
+
 @query
 def contributors_by_library(spark, sf):
     return activity.contributors(V.commits_v(spark, sf), "repo")
