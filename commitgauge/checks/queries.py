@@ -425,6 +425,13 @@ def ccs_quartiles(spark, sf):
     return rounded(scoring.ccs_quartiles(scored(spark, sf)), "q25", "q50", "q75")
 
 
+@query
+def ccs_quartiles_by_year_sketched(spark, sf):
+    """Quartiles of the complexity score by language and year, from KLL sketches stored per library and day."""
+    stored = sketches.value_sketches(scored(spark, sf), "ccs_score")
+    return sketches.quantiles_from(stored.withColumn("year", F.year("day")), ["language", "year"])
+
+
 @query
 def ccs_density(spark, sf):
     """The curve of the complexity violin by language: Scott's bandwidth, 100 points, two bandwidths beyond the data."""

@@ -28,3 +28,19 @@ def test_large_unions_stay_within_the_error_bound(spark):
     exact = 150_000 + 1  # every author, and one more for the commits without one
     assert abs(found.contributors - exact) <= 3 * 1.04 / math.sqrt(1 << sketches.LG_BUCKETS) * exact
     assert found.commits == 400_000
+
+
+def test_quartiles_from_sketches_lie_within_the_rank_error(spark):
+    rng = __import__("numpy").random.default_rng(5)
+    values = rng.lognormal(1.0, 0.7, 60_000)
+    rows = [("c" if i % 3 else "rust", f"r{i % 9}", f"2021-0{1 + i % 9}-1{i % 10}", float(v)) for i, v in enumerate(values)]
+    rows += [("c", "r0", "2021-01-10", None), ("c", "r0", "2021-01-10", float("nan"))]
+    df = spark.createDataFrame(rows, "language string, repo string, day string, v double").withColumn("date", F.to_timestamp("day"))
+    found = {r.language: r for r in sketches.quantiles_from(sketches.value_sketches(df, "v"), ["language"]).collect()}
+    error = 1.65 / sketches.KLL_K * 2  # twice the normalised rank error of a sketch
+    for language, picked in (("c", values[[i % 3 != 0 for i in range(60_000)]]), ("rust", values[::3])):
+        ordered = sorted(picked)
+        assert found[language].n == len(picked)
+        for p in (0.25, 0.5, 0.75):
+            rank = sum(1 for v in ordered if v <= found[language][f"q{round(100 * p)}"]) / len(ordered)
+            assert abs(rank - p) <= error
