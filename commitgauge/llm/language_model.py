@@ -22,6 +22,10 @@ from commitgauge.llm.common import hide_missing, plain_words, show_missing, stor
 
 #: The end of a text: no word holds a blank.
 END = b" end"
+#: Most words whose hash and class a task keeps at once.
+CACHED = 1 << 20
+#: About how many tokens are scored together in one array.
+SCORED = 1 << 17
 
 
 def word_hash(word: bytes) -> int:
@@ -41,13 +45,25 @@ class Vocabulary:
         self.tops = len(tops)
         self.classes = self.tops + endings
         self.top_class = {int(h): i for i, h in enumerate(tops)}
+        self.cache: dict[bytes, tuple[int, int]] = {}
+
+    def code(self, token: bytes) -> tuple[int, int]:
+        """Hash and class of a token, kept in a cache of at most CACHED words that a task fills as it reads."""
+        h = word_hash(token)
+        c = self.top_class.get(h, -1)
+        found = (h, c if c >= 0 else self.tops + zlib.crc32(token[-3:]) % self.endings)
+        if len(self.cache) >= CACHED:
+            self.cache.clear()
+        self.cache[token] = found
+        return found
 
     def encode(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and classes of the tokens."""
-        hashes = list(map(word_hash, tokens))
-        get, tops, endings = self.top_class.get, self.tops, self.endings
-        classes = [get(h, -1) for h in hashes]
-        classes = [c if c >= 0 else tops + zlib.crc32(t[-3:]) % endings for c, t in zip(classes, tokens)]
+        """Hashes and classes of the tokens; a frequent word is hashed once a task, not once a use."""
+        found = list(map(self.cache.get, tokens))
+        for i, pair in enumerate(found):
+            if pair is None:
+                found[i] = self.cache.get(tokens[i]) or self.code(tokens[i])
+        hashes, classes = zip(*found) if found else ((), ())
         return np.array(hashes, np.int64), np.array(classes, np.int64)
 
     def contexts(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,24 +253,49 @@ def language_scores(
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, n_of = voc.known, np.log10(voc.counts + 0.5)
         for pdf in batches:
-            out: list[tuple] = []
-            rare: list[pd.DataFrame] = []
-            for row, doc_id, text in zip(pdf["row"], pdf["doc_id"], pdf["text"]):
-                tokens = [*plain_words(text), END]
-                hashes, classes = voc.encode(tokens)
-                one, two = voc.contexts(classes)
-                z = ((p[0][one] + p[1][two]) * p[2][classes]).sum(1) + p[3][classes] - normaliser[one, two]
-                model = z.astype(np.float64).sum() / tenth - log_mass[classes].sum()
-                where = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-                met = known[where] == hashes if len(known) else np.zeros(len(hashes), bool)
-                own = n_of[where[met]].sum() if len(known) else 0.0
-                out.append((row, doc_id, -row - 1, 0, len(tokens), int(met.sum()), own - len(tokens) * rest, model + own))
-                if not met.all():
-                    h, n = np.unique(hashes[~met], return_counts=True)
-                    rare.append(pd.DataFrame({"row": row, "doc_id": doc_id, "h": h, "tf": n}))
-            yield pd.DataFrame(out, columns=["row", "doc_id", "h", "tf", "n_tokens", "n_known", "base", "model"])
-            if rare:
-                yield pd.concat(rare).assign(n_tokens=0, n_known=0, base=0.0, model=0.0)
+            texts = [[*plain_words(text), END] for text in pdf["text"]]
+            rows, ids = pdf["row"].to_numpy(), pdf["doc_id"].to_numpy()
+            first = 0
+            while first < len(texts):  # texts together, about SCORED tokens at a time
+                last, held = first, 0
+                while last < len(texts) and (last == first or held + len(texts[last]) <= SCORED):
+                    held, last = held + len(texts[last]), last + 1
+                yield from _scored(texts[first:last], rows[first:last], ids[first:last], known, n_of)
+                first = last
+
+    def _scored(texts, rows, ids, known, n_of):
+        """Model and count scores of some texts, with their tokens in one array."""
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        hashes, classes = voc.encode([t for tokens in texts for t in tokens])
+        place = np.arange(len(classes)) - np.repeat(starts, lengths)
+        one = np.where(place >= 1, np.roll(classes, 1), voc.classes)
+        two = np.where(place >= 2, np.roll(classes, 2), voc.classes)
+        z = ((p[0][one] + p[1][two]) * p[2][classes]).sum(1) + p[3][classes] - normaliser[one, two]
+        model = np.add.reduceat(z.astype(np.float64), starts) / tenth - np.add.reduceat(log_mass[classes], starts)
+        if len(known):
+            where = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            met = known[where] == hashes
+            own = np.add.reduceat(np.where(met, n_of[where], 0.0), starts)
+        else:
+            met, own = np.zeros(len(hashes), bool), np.zeros(len(texts))
+        n_known = np.add.reduceat(met.astype(np.int64), starts)
+        yield pd.DataFrame({
+            "row": rows, "doc_id": ids, "h": -rows - 1, "tf": 0, "n_tokens": lengths, "n_known": n_known,
+            "base": own - lengths * rest, "model": model + own,
+        })
+        if not met.all():
+            text = np.repeat(np.arange(len(texts)), lengths)[~met]
+            h = hashes[~met]
+            order = np.lexsort((h, text))
+            text, h = text[order], h[order]
+            new = np.concatenate([[True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])])
+            at = np.flatnonzero(new)
+            tf = np.diff(np.append(at, len(h)))
+            yield pd.DataFrame({
+                "row": rows[text[at]], "doc_id": ids[text[at]], "h": h[at], "tf": tf, "n_tokens": 0, "n_known": 0,
+                "base": 0.0, "model": 0.0,
+            })
 
     schema = "row long, doc_id long, h long, tf long, n_tokens long, n_known long, base double, model double"
     parts = base.mapInPandas(score, schema)
