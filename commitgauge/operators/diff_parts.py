@@ -1,16 +1,18 @@
 """Diffs larger than a row: diffs stored as (commit, part, text) rows, read as a table of lines.
 
-Where ``explode_diff_lines`` reads a whole diff inside one row, this path never holds more than one part in a task:
-a diff of millions of lines is as many rows of parts, and every line learns its file, hunk and place by a segmented
-scan. Each part is summed first (lines, file and hunk starts, old and new side counts, and the last file and hunk
-start inside it); running sums over the short table of parts give every part its offsets; a running scan inside each
-part adds its own lines. A line's hunk is the last hunk start at or before it, if that lies after the last file start;
-its number in the file is the count of hunk starts since that file start. Hunks are then cut to their declared sizes,
-as the whole-diff path does (all lines when the counts match, else up to the first line where they are reached, else
-none), from per-hunk sums joined back by the hunk's key in slices, so that one huge hunk is not one task.
+Where ``explode_diff_lines`` reads a whole diff inside one row, this path never holds the text of more than one part
+in a row: a diff of millions of lines is as many rows of parts, and every line learns its file, hunk and place by a
+segmented scan. Each part is cut into runs, a run starting with the part or with a file or hunk start inside it. A run
+is described without its text, by one character a line (``marks``: added, removed, marker or other), so that running
+sums over the short table of runs give every run its offsets, its file, its hunk (the last hunk start at or before it,
+if that lies after the last file start; its number is the count of hunk starts since that file start) and where its
+lines lie in that hunk. Hunks are cut to their declared sizes, as the whole-diff path does (all lines when the counts
+match, else up to the first line where they are reached, else none), from the same sums and marks. Only then do the
+places of the kept runs meet the texts, by (commit, part): texts move once, and lines are never sorted.
 
 The lines are those of the whole diff: the text of its parts joined by line breaks, in part order. A last empty line
-(the diff ends with a line break) is no line. Missing texts hold no lines; a missing commit key is a commit too.
+(the diff ends with a line break) is no line. Missing texts hold no lines; a missing commit key is a commit too. A
+(commit, part) that comes more than once is read line by line side by side, lines of one place sharing its number.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitgauge.functions import diffs as D
-from commitgauge.operators.joins import hot_join
 
-FILE_LINE = r"^diff --git "
-HUNK_LINE = r"^@@ -[0-9]"
+FILE_LINE = "diff --git "
+HUNK_LINE = r"\A@@ -[0-9]"
+#: The line break before a file or hunk start.
+NEXT_RUN = r"\n(?=diff --git |@@ -[0-9])"
 PART_LINES = 256
 
 
@@ -39,134 +42,153 @@ def _number(line: Column, group: int, default: int) -> Column:
     return F.coalesce(found.try_cast("int"), F.lit(default))
 
 
-def _same(keys: list[str], left: str, right: str) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out = out & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
-    return out
-
-
-def _placed(parts: DataFrame, key: str) -> DataFrame:
-    """Every line with its index i in the diff, file_no, running sums gh (hunk starts), go and gn (old and new side
-    lines), the last hunk start h and file start f at or before it, and whether it is the phantom last line."""
-    raw = parts.where(F.col("text").isNotNull()).select(key, "part", F.posexplode(F.split("text", "\n")).alias("j", "line"))
-    first = F.left(F.col("line"), F.lit(1))
-    raw = raw.select(
-        key, "part", "j", "line",
-        F.col("line").rlike(FILE_LINE).cast("int").alias("fs"),
-        F.col("line").rlike(HUNK_LINE).cast("int").alias("hs"),
-        (~first.isin("+", "\\")).cast("int").alias("o"),
-        (~first.isin("-", "\\")).cast("int").alias("n"),
+def _side_by_side(texts: Column) -> Column:
+    """The lines of several texts as one text: all first lines, all second lines, and so on."""
+    none = F.array().cast("array<string>")
+    places = F.aggregate(
+        texts,
+        F.array().cast("array<array<string>>"),
+        lambda met, text: F.zip_with(
+            met,
+            F.split(text, "\n"),
+            lambda lines, line: F.concat(F.coalesce(lines, none), F.when(line.isNotNull(), F.array(line)).otherwise(none)),
+        ),
+    )
+    return F.array_join(F.flatten(places), "\n")
+
+
+def _texts(parts: DataFrame, key: str) -> DataFrame:
+    """One row (_k, part, copies, text) of each stored part; ``_k`` holds the commit key, so that a missing key is one too.
+
+    All readers ask for the same columns of the dealt parts, so that Spark deals them once."""
+    dealt = parts.where(F.col("text").isNotNull()).select(F.struct(key).alias("_k"), "part", "text").repartition("_k", "part")
+    met = dealt.groupBy("_k", "part").agg(F.sort_array(F.collect_list("text")).alias("_t"))
+    text = F.when(F.size("_t") == 1, F.get("_t", 0)).otherwise(_side_by_side(F.col("_t")))
+    return met.select("_k", "part", F.size("_t").alias("copies"), text.alias("text"))
+
+
+def _mark(line: Column) -> Column:
+    first = F.left(line, F.lit(1))
+    return F.when(first.isin("+", "-", "\\"), first).otherwise(" ")
+
+
+def _runs(texts: DataFrame) -> DataFrame:
+    """Every run without its text: its place (_k, part, s), fs and hs (whether a file or a hunk starts it), marks, file_no
+    and gh (file and hunk starts so far), p (its first line in the part), start (lines before the part), at (the index
+    of its first line), mark (the kind of the last start), and of the last file start f_gh and f_at, of the last hunk
+    start h_at, old_size and new_size."""
+    cut = texts.select("_k", "part", "copies", F.posexplode(F.split("text", NEXT_RUN)).alias("s", "run"))
+    header = F.substring_index("run", "\n", 1)
+    hunk_start = F.col("run").rlike(HUNK_LINE)
+    runs = cut.select(
+        "_k", "part", "copies", "s",
+        F.col("run").startswith(FILE_LINE).cast("int").alias("fs"),
+        hunk_start.cast("int").alias("hs"),
+        F.array_join(F.transform(F.split("run", "\n"), _mark), "").alias("marks"),
+        ((F.col("run") == "") | F.col("run").endswith("\n")).alias("open"),
+        F.when(hunk_start, _number(header, 2, 1)).alias("old_size"),
+        F.when(hunk_start, _number(header, 4, 1)).alias("new_size"),
     )
-    inside = Window.partitionBy(key, "part").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    running = raw.select(
+    runs = runs.withColumn("n", F.length("marks"))
+    order = Window.partitionBy("_k").orderBy("part", "s")
+    here = order.rowsBetween(Window.unboundedPreceding, 0)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    in_part = Window.partitionBy("_k", "part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+
+    def last(when: str, value: Column) -> Column:
+        return F.last(F.when(F.col(when) == 1, value), ignorenulls=True).over(here)
+
+    runs = runs.select(
         "*",
-        *(F.sum(c).over(inside).alias(f"c{c}") for c in ("fs", "hs", "o", "n")),
+        F.sum("fs").over(here).alias("file_no"),
+        F.sum("hs").over(here).alias("gh"),
+        F.last(F.when(F.col("hs") == 1, "h").when(F.col("fs") == 1, "f"), ignorenulls=True).over(here).alias("mark"),
+        F.coalesce(F.sum("n").over(in_part), F.lit(0)).alias("p"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines"),
+        F.lead("part").over(order).isNull().alias("ends"),
     )
-    hunk_mark = F.struct(
-        F.col("j").alias("at"), F.col("co").alias("go"), F.col("cn").alias("gn"),
-        _number(F.col("line"), 2, 1).alias("old_size"), _number(F.col("line"), 4, 1).alias("new_size"),
-    )
-    file_mark = F.struct(F.col("j").alias("at"), F.col("chs").alias("gh"))
-    running = running.withColumns({
-        "h_in": F.max(F.when(F.col("hs") == 1, hunk_mark)).over(inside),
-        "f_in": F.max(F.when(F.col("fs") == 1, file_mark)).over(inside),
+    phantom = F.col("ends") & F.col("open") & (F.col("copies") == 1)
+    runs = runs.withColumns({
+        "marks": F.when(phantom, F.left("marks", F.col("n") - 1)).otherwise(F.col("marks")),
+        "start": F.col("lines") - F.col("p"),
     })
-
-    # The short table of parts: sums, then offsets and the starts carried in from earlier parts.
-    blocks = running.groupBy(key, "part").agg(
-        F.count("*").alias("lines"), F.sum("o").alias("olds"), F.sum("n").alias("news"),
-        F.sum("fs").alias("files"), F.sum("hs").alias("hunks"), F.max("h_in").alias("h_last"), F.max("f_in").alias("f_last"),
+    runs = runs.withColumn("at", _line(F.lit(0)))
+    return runs.select(
+        "_k", "part", "s", "copies", "fs", "hs", "marks", "file_no", "gh", "p", "start", "mark",
+        last("fs", F.col("gh")).alias("f_gh"), last("fs", F.col("at")).alias("f_at"), last("hs", F.col("at")).alias("h_at"),
+        last("hs", F.col("old_size")).alias("old_size"), last("hs", F.col("new_size")).alias("new_size"),
     )
-    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(
-        key, "part", "h_last", "f_last",
-        *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"before_{c}") for c in ("lines", "olds", "news", "files", "hunks")),
-        F.sum("lines").over(Window.partitionBy(key)).alias("all_lines"),
-    )
-    h_global = F.when(F.col("h_last").isNotNull(), F.struct(
-        (F.col("before_lines") + F.col("h_last.at")).alias("at"), (F.col("before_olds") + F.col("h_last.go")).alias("go"),
-        (F.col("before_news") + F.col("h_last.gn")).alias("gn"), F.col("h_last.old_size").alias("old_size"),
-        F.col("h_last.new_size").alias("new_size"),
-    ))
-    f_global = F.when(F.col("f_last").isNotNull(), F.struct(
-        (F.col("before_lines") + F.col("f_last.at")).alias("at"), (F.col("before_hunks") + F.col("f_last.gh")).alias("gh"),
-    ))
-    blocks = blocks.withColumns({"h_global": h_global, "f_global": f_global})
-    blocks = blocks.withColumns({"h_carry": F.max("h_global").over(before), "f_carry": F.max("f_global").over(before)})
-    blocks = blocks.drop("h_last", "f_last", "h_global", "f_global")
-
-    placed = running.alias("r").join(blocks.alias("b"), _same([key, "part"], "r", "b"))
-    i = F.col("b.before_lines") + F.col("r.j")
-    own_h = F.when(F.col("r.h_in").isNotNull(), F.struct(
-        (F.col("b.before_lines") + F.col("r.h_in.at")).alias("at"), (F.col("b.before_olds") + F.col("r.h_in.go")).alias("go"),
-        (F.col("b.before_news") + F.col("r.h_in.gn")).alias("gn"), F.col("r.h_in.old_size").alias("old_size"),
-        F.col("r.h_in.new_size").alias("new_size"),
-    ))
-    own_f = F.when(F.col("r.f_in").isNotNull(), F.struct(
-        (F.col("b.before_lines") + F.col("r.f_in.at")).alias("at"), (F.col("b.before_hunks") + F.col("r.f_in.gh")).alias("gh"),
-    ))
-    lines = placed.select(
-        F.col(f"r.{key}").alias(key),
-        i.alias("i"),
-        F.col("r.line").alias("text"),
-        (F.col("b.before_files") + F.col("r.cfs")).alias("file_no"),
-        (F.col("b.before_hunks") + F.col("r.chs")).alias("gh"),
-        (F.col("b.before_olds") + F.col("r.co")).alias("go"),
-        (F.col("b.before_news") + F.col("r.cn")).alias("gn"),
-        F.coalesce(own_h, F.col("b.h_carry")).alias("h"),
-        F.coalesce(own_f, F.col("b.f_carry")).alias("f"),
-        ((i == F.col("b.all_lines") - 1) & (F.col("r.line") == "")).alias("phantom"),
-    )
-    return lines
+
+
+def _line(q: Column) -> Column:
+    """The index in the diff of line ``q`` of a run."""
+    return F.col("start") + F.floor((F.col("p") + q) / F.col("copies"))
+
+
+def _reached(marks: Column, old: Column, new: Column) -> Column:
+    """How many lines until ``old`` old lines and ``new`` new lines are met, one line at least; NULL if they never are."""
+
+    def step(met: Column, k: Column) -> Column:
+        one = F.substring(marks, k, F.lit(1))
+        o = met["o"] + F.when(one.isin("+", "\\"), 0).otherwise(1)
+        n = met["n"] + F.when(one.isin("-", "\\"), 0).otherwise(1)
+        found = F.coalesce(met["at"], F.when((o == old) & (n == new), k))
+        return F.struct(o.alias("o"), n.alias("n"), found.alias("at"))
+
+    zero = F.struct(F.lit(0).alias("o"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("at"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(marks)), zero, step, lambda met: met["at"])
+
+
+def _lines(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """Every line of the runs in ``places``, which meet the texts by (_k, part); all columns of the run, q and text."""
+    rest = [c for c in places.columns if c not in ("_k", "part", "copies")]
+    met = places.groupBy("_k", "part").agg(F.collect_list(F.struct(*rest)).alias("_places"))
+    cut = texts.join(met, ["_k", "part"]).select("_k.*", "copies", F.split("text", NEXT_RUN).alias("_runs"), "_places")
+    runs = cut.select("*", F.explode("_places").alias("_r")).drop("_places")
+    runs = runs.select("*", "_r.*").withColumn("_run", F.get("_runs", F.col("s"))).drop("_runs", "_r")
+    return runs.select("*", F.posexplode(F.split("_run", "\n")).alias("q", "text")).drop("_run")
 
 
 def lines_of_parts(parts: DataFrame, key: str = "commit_id") -> DataFrame:
     """Rows (key, file_no, hunk_no, line_no, text, kind) of every kept hunk line."""
-    lines = _placed(parts, key)
-    in_hunk = (
-        F.col("f").isNotNull() & F.col("h").isNotNull() & (F.col("h.at") > F.col("f.at")) & (F.col("i") > F.col("h.at"))
-        & ~F.col("phantom")
+    texts = _texts(parts, key)
+    runs = _runs(texts).where((F.col("mark") == "h") & (F.col("file_no") > 0))
+
+    # Per hunk: counts and the first line where the declared sizes are reached, from the marks below the header.
+    body = F.when(F.col("hs") == 1, F.substring("marks", 2, 1 << 30)).otherwise(F.col("marks"))
+    runs = runs.withColumn("body", body)
+
+    def lines_with(one: str) -> Column:
+        return F.length("body") - F.length(F.replace("body", F.lit(one), F.lit("")))
+
+    sides = F.length("body") - lines_with("\\")
+    runs = runs.withColumns({"o": sides - lines_with("+"), "n": sides - lines_with("-")})
+    hunk = Window.partitionBy("_k", "gh")
+    before = hunk.orderBy("part", "s").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(
+        "*", *(F.sum(c).over(hunk).alias(f"all_{c}") for c in "on"),
+        *((F.col(size) - F.coalesce(F.sum(c).over(before), F.lit(0))).alias(f"left_{c}") for c, size in (("o", "old_size"), ("n", "new_size"))),
     )
-    reached = ((F.col("go") - F.col("h.go")) == F.col("h.old_size")) & ((F.col("gn") - F.col("h.gn")) == F.col("h.new_size"))
-    # A hunk is known by its commit and the index of its header line; a missing commit key is a commit too.
-    hunk = F.concat(F.coalesce(F.concat(F.lit("+"), F.col(key).cast("string")), F.lit("-")), F.lit("#"), F.col("h.at").cast("string"))
-    hunk_lines = lines.where(in_hunk).select(
-        key, "text", "file_no",
-        (F.col("gh") - F.col("f.gh")).alias("hunk_no"),
-        hunk.alias("hunk"),
-        (F.col("i") - F.col("h.at")).alias("line_no"),
-        reached.alias("reached"),
-        F.col("h.old_size").alias("old_size"), F.col("h.new_size").alias("new_size"),
+    runs = runs.withColumn("exact", (F.col("all_o") == F.col("old_size")) & (F.col("all_n") == F.col("new_size")))
+    passed = F.col("left_o").between(F.lit(0), F.col("o")) & F.col("left_n").between(F.lit(0), F.col("n"))
+    q = F.when(~F.col("exact") & passed & (F.col("body") != ""), _reached(F.col("body"), F.col("left_o"), F.col("left_n")))
+    runs = runs.withColumn("reach", F.min(_line(F.col("hs") + q - 1) - F.col("h_at")).over(hunk))
+    kept = runs.where(F.col("exact") | F.col("reach").isNotNull()).select(
+        "_k", "part", "copies", "s", "hs", "file_no", (F.col("gh") - F.col("f_gh")).alias("hunk_no"), "p", "start", "h_at",
+        F.length("marks").alias("n"), F.when(~F.col("exact"), F.col("reach")).alias("reach"),
     )
-
-    # Per hunk: counts and the first line where the declared sizes are reached; joined back in slices.
-    kinds = D.line_kind(F.col("text"))
-    sums = hunk_lines.groupBy("hunk").agg(
-        F.count("*").alias("size"), F.count(F.when(kinds == "added", 1)).alias("added"),
-        F.count(F.when(kinds == "removed", 1)).alias("removed"), F.count(F.when(kinds == "marker", 1)).alias("marks"),
-        F.min(F.when(F.col("reached"), F.col("line_no"))).alias("reach"),
-        F.first("old_size").alias("o_size"), F.first("new_size").alias("n_size"),
-    )
-    exact = ((F.col("size") - F.col("added") - F.col("marks")) == F.col("o_size")) & (
-        (F.col("size") - F.col("removed") - F.col("marks")) == F.col("n_size")
-    )
-    sums = sums.select("hunk", exact.alias("exact"), "reach", F.col("size").alias("n"))
-    joined = hot_join(hunk_lines, sums, "hunk", ["line_no"], sums.select("hunk", "n"), _rows(parts))
-    kept = joined.where(F.col("exact") | (F.col("reach").isNotNull() & (F.col("line_no") <= F.col("reach"))))
-    return kept.select(key, "file_no", "hunk_no", "line_no", "text", kinds.alias("kind"))
-
-
-def _rows(parts: DataFrame) -> int:
-    """How many lines the parts hold: the slice size of hot hunks follows from it."""
-    return parts.select(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0
+    lines = _lines(texts, kept).where((F.col("q") >= F.col("hs")) & (F.col("q") < F.col("n")))
+    lines = lines.withColumn("line_no", _line(F.col("q")) - F.col("h_at"))
+    lines = lines.where(F.col("reach").isNull() | (F.col("line_no") <= F.col("reach")))
+    return lines.select(key, "file_no", "hunk_no", "line_no", "text", D.line_kind(F.col("text")).alias("kind"))
 
 
 def file_paths(parts: DataFrame, key: str = "commit_id") -> DataFrame:
     """Rows (key, file_no, path): each file's path from its header lines (from its first line up to its first hunk),
     read as the whole-diff path reads it."""
-    lines = _placed(parts, key)
-    header = lines.where(F.col("f").isNotNull() & (F.col("h").isNull() | (F.col("h.at") < F.col("f.at"))))
+    texts = _texts(parts, key)
+    places = _runs(texts).where(F.col("mark") == "f").select("_k", "part", "copies", "s", "file_no", "p", "start", "f_at")
+    header = _lines(texts, places).withColumn("i", _line(F.col("q")))
 
     def first(pattern: str) -> Column:
         found = F.regexp_extract("text", pattern, 1)
@@ -174,7 +196,7 @@ def file_paths(parts: DataFrame, key: str = "commit_id") -> DataFrame:
 
     def on_first_line(pattern: str, group: int) -> Column:
         found = F.regexp_extract("text", pattern, group)
-        return F.max(F.when((F.col("i") == F.col("f.at")) & (found != ""), found))
+        return F.max(F.when((F.col("i") == F.col("f_at")) & (found != ""), found))
 
     files = header.groupBy(key, "file_no").agg(
         first(r"^--- ([^\t\n]+)").alias("dash"), first(r"^\+\+\+ ([^\t\n]+)").alias("plus"),

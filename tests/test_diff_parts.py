@@ -47,3 +47,24 @@ def test_parts_of_a_long_diff_join_back(spark):
     assert {k: "\n".join(v) for k, v in texts.items()} == {k: v for k, v in DIFFS if v is not None}
     empty = spark.createDataFrame([], "commit_id long, diff_raw string")
     assert diff_parts.lines_of_parts(diff_parts.cut_into_parts(empty)).count() == 0
+
+
+def test_lines_are_placed_without_their_texts(spark):
+    """No job at planning time, and no window over lines: their texts are dealt once and meet their places at the end."""
+    parts = diff_parts.cut_into_parts(spark.createDataFrame(DIFFS, "commit_id long, diff_raw string"), lines=3)
+    spark.sparkContext.setJobGroup("planning", "lines_of_parts")
+    lines = diff_parts.lines_of_parts(parts)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if x.lstrip(" +-:").startswith("Window")]
+    assert windows and not [x for x in windows if "line#" in x or "text#" in x]
+
+
+def test_parts_that_come_twice_are_read_side_by_side(spark):
+    row = (1, DIFFS[0][1].replace("index 1..2\n", ""))
+    df = spark.createDataFrame([row, row], "commit_id long, diff_raw string")
+    parts = diff_parts.cut_into_parts(df, lines=3)
+    found = sorted(tuple(r) for r in diff_parts.lines_of_parts(parts).collect())
+    assert found == [(1, 2, 4, 4, " e", "context")] * 2 + [(1, 2, 4, 5, "+f", "added")] * 2
+    assert sorted(tuple(r) for r in diff_parts.file_paths(parts).collect()) == [(1, 1, "x.c"), (1, 2, "x.c")]
