@@ -2,7 +2,8 @@
 
 Rows are dealt to ``shards`` shards by a hash of their key, and shards ``per_job`` at a time to groups; the input is
 written once, partitioned by group, so that each group's job reads its own rows. Each group's result is written to
-its own folder through Spark's commit protocol, whose mark (``_SUCCESS``) is the ledger. A rerun
+its own folder through Spark's commit protocol, whose mark (``_SUCCESS``) is the ledger. The model is trained and
+written once too: no group trains it again, and a rerun goes on with the model of the groups that are done. A rerun
 reads the marks and classifies only the groups without one; a half-written group (no mark) is written again, whole.
 The result is the union of all committed groups, so a finished run reads the same rows whatever was lost before.
 
@@ -67,6 +68,10 @@ def classify_in_shards(
     staged = f"{folder}/input"
     if not committed(spark, staged):
         keyed.write.mode("overwrite").partitionBy("_group").parquet(staged)
+    trained = f"{folder}/model"
+    if not committed(spark, trained):
+        model.write.mode("overwrite").parquet(trained)
+    model = spark.read.schema(model.schema).parquet(trained)
     stored_schema = keyed.drop("_group").schema
     groups = range((shards + per_job - 1) // per_job)
     out_schema = f"{id_} {df.schema[id_].dataType.simpleString()}, text_sha256 string, predicted string"
@@ -76,9 +81,9 @@ def classify_in_shards(
             continue
         if exists(spark, f"{staged}/_group={g}"):
             mine = spark.read.schema(stored_schema).parquet(f"{staged}/_group={g}").dropDuplicates(["_key"])
-            found = bayes.classify(model, mine, "_key", "_text", "predicted")
-            rows = mine.select("_key", "_id", "text_sha256").join(found, "_key")
-            rows = rows.select(F.col("_id").alias(id_), "text_sha256", "predicted")
+            mine = mine.select(F.struct("_id", "text_sha256").alias("_row"), "_text")
+            found = bayes.classify(model, mine, "_row", "_text", "predicted")
+            rows = found.select(F.col("_row._id").alias(id_), "_row.text_sha256", "predicted")
         else:
             rows = spark.createDataFrame([], out_schema)
         rows.write.mode("overwrite").parquet(place)

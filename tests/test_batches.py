@@ -44,3 +44,21 @@ def test_an_empty_table_gives_no_rows(spark):
     model = bayes.train_naive_bayes(spark.createDataFrame(TRAIN, "text string, label string"))
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert batches.classify_in_shards(model, empty, "doc_id", tempfile.mkdtemp(prefix="ledger-"), shards=4, per_job=2).count() == 0
+
+
+def test_the_model_is_trained_once_and_kept(spark, monkeypatch):
+    """Every group classifies with the stored model: no group's plan trains it again, nor does a rerun."""
+    examples = spark.createDataFrame(TRAIN, "text string, label string")
+    docs = spark.createDataFrame([(i, "cheap buy" if i % 3 else "team meeting") for i in range(40)], "doc_id long, text string")
+    folder, plain, plans = tempfile.mkdtemp(prefix="ledger-"), bayes.classify, []
+
+    def seen(model, *rest):
+        plans.append(model._jdf.queryExecution().optimizedPlan().toString())
+        return plain(model, *rest)
+
+    monkeypatch.setattr(bayes, "classify", seen)
+    model = bayes.train_naive_bayes(examples)
+    found = batches.classify_in_shards(model, docs, "doc_id", folder, shards=4, per_job=2)
+    assert {(r.doc_id, r.predicted) for r in found.collect()} == {(r.doc_id, r.predicted) for r in plain(model, docs, "doc_id").collect()}
+    assert len(plans) == 2 and not [p for p in plans if "Aggregate" in p]
+    assert spark.read.parquet(f"{folder}/model").count() == model.count()
