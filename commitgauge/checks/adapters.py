@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commitgauge import fixed_values as V
+from commitgauge.operators.joins import deal
 
 PRIORITY_CATEGORIES = {
     "1-URGENT": V.MEMORY,
@@ -91,7 +92,13 @@ def commits_v(spark: SparkSession, sf_dir: str, stats: bool = False) -> DataFram
     return named.select(*columns)
 
 
-def file_changes_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+def file_change_rows(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of ``file_changes_v``, up to line items without an order and orders that repeat, from the file footers."""
+    return table(spark, sf_dir, "lineitem").count()
+
+
+def file_changes_v(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
+    """All line items as file changes; ``rows``, if known, deals them to as many tasks as their join needs."""
     items = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("file"),
@@ -99,7 +106,8 @@ def file_changes_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").cast("long").alias("lines_removed"),
     )
     commits = commits_v(spark, sf_dir).select("commit_id", "language", "repo", "author", "date", "n")
-    return commits.join(items, F.col("n") == F.col("l_orderkey")).drop("n", "l_orderkey")
+    joined = deal(commits, rows, "n").join(deal(items, rows, "l_orderkey"), F.col("n") == F.col("l_orderkey"))
+    return joined.drop("n", "l_orderkey")
 
 
 def diffs_v(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,7 +192,8 @@ def revisions_per_change(spark, sf):
 
 @query
 def revisions_per_file_change(spark, sf):
-    changes = activity.changes_by_file(V.file_changes_v(spark, sf))
+    rows = V.file_change_rows(spark, sf)
+    changes = activity.changes_by_file(V.file_changes_v(spark, sf, rows), rows=rows)
     return rounded(activity.revisions_per_change(changes), "avg_revisions")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from commitgauge import fixed_values as V
 from commitgauge.functions import text as X
 from commitgauge.operators.focus import count_by
+from commitgauge.operators.joins import deal
 
 
 def sum_of(column: str, strict_nulls: bool = False) -> Column:
@@ -128,10 +129,13 @@ def changes_daily(df: DataFrame, author: str = "author", strict_nulls: bool = Fa
     )
 
 
-def changes_by_file(df: DataFrame, author: str = "author", file: str = "file") -> DataFrame:
-    """One change per author, file, library and day."""
+def changes_by_file(df: DataFrame, author: str = "author", file: str = "file", rows: int | None = None) -> DataFrame:
+    """One change per author, file, library and day.
+
+    There are about as many changes as rows: ``rows``, if known, deals them to as many tasks as they need."""
+    daily = df.select("language", "repo", author, file, F.to_date("date").alias("day"))
     return (
-        df.groupBy("language", "repo", author, file, F.to_date("date").alias("day"))
+        deal(daily, rows, *daily.columns).groupBy(*daily.columns)
         .agg(F.count(F.lit(1)).alias("revisions"))
         .withColumn("year", F.year("day"))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Most rows of a table that is broadcast after its rows were counted.
 MOST_BROADCAST = 100_000
+#: Rows that one task sorts or groups, where their number is known before.
+ROWS_PER_TASK = 500_000
 
 
 def broadcast_if_short(small: DataFrame, keys: DataFrame, rows_per_key: int = 1, most: int = MOST_BROADCAST) -> DataFrame:
@@ -21,6 +24,13 @@ def broadcast_if_short(small: DataFrame, keys: DataFrame, rows_per_key: int = 1,
     return F.broadcast(small) if keys.distinct().limit(bound + 1).count() <= bound else small
 
 
+def deal(df: DataFrame, rows: int | None, *keys: str, per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``df`` dealt by ``keys`` to so many tasks that each gets about ``per_task`` of ``rows`` rows, for a join or
+    grouping by these keys; as it is, if the session's shuffles deal to as many tasks anyway, or ``rows`` is unknown."""
+    tasks = math.ceil((rows or 0) / per_task)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def hot_join(
     left: DataFrame,
     right: DataFrame,

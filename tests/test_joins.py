@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from commitgauge.operators import joins, labels, sampling
+from commitgauge.operators import activity, joins, labels, sampling
 
 
 @pytest.fixture()
@@ -59,3 +59,25 @@ def test_results_are_the_same_beyond_the_bound(spark, monkeypatch):
     short = results()
     monkeypatch.setattr(joins.broadcast_if_short, "__defaults__", (1, 2))
     assert results() == short
+
+
+def test_deal_grows_the_tasks_with_the_rows(spark):
+    rows = spark.range(1000).selectExpr("id % 7 AS k", "id")
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert joins.deal(rows, None, "k") is rows and joins.deal(rows, 1000, "k", per_task=1000) is rows
+    dealt = joins.deal(rows, 1000, "k", per_task=10)
+    assert dealt.rdd.getNumPartitions() == 100 > session
+    assert sorted(dealt.collect()) == sorted(rows.collect())
+
+
+def test_file_changes_are_grouped_in_as_many_tasks_as_they_need(spark):
+    """The join's and the grouping's exchanges grow with the rows, whatever the session's number of partitions."""
+    row = (
+        "IF(id % 3 < 9, 'c', 'd') AS language, IF(id % 3 < 9, 'r', 's') AS repo, IF(id % 2 = 0, 'a', NULL) AS author, "
+        "CAST(id % 5 AS string) AS file, timestamp_seconds(id % 10) AS date"
+    )
+    df = spark.sql(f"SELECT {row} FROM range(100)")
+    plan = activity.changes_by_file(df, rows=30 * joins.ROWS_PER_TASK)._jdf.queryExecution().executedPlan().toString()
+    assert ", 30), REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    few = sorted(map(str, activity.changes_by_file(df).collect()))
+    assert sorted(map(str, activity.changes_by_file(df, rows=30 * joins.ROWS_PER_TASK).collect())) == few and len(few) == 10
