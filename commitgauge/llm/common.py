@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -17,6 +18,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that one task writes, where their number is known before.
+ROWS_PER_FILE = 100_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, or the checkpoint folder the context was given; only where neither is set
     (a local session, as in tests) a folder of this machine, which then becomes the context's checkpoint folder."""
@@ -27,9 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows written to the shared folder and read back: cuts the lineage, survives lost executors."""
+def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """The rows written to the shared folder and read back: cuts the lineage, survives lost executors.
+
+    ``rows``: about how many rows a last shuffle of narrow rows in `df` brings. They are merged and written by one task
+    for each ROWS_PER_FILE of them, if the shuffle deals to more: files cost an executor time and memory each.
+    """
     spark = df.sparkSession
+    df = df if rows is None else df.coalesce(max(1, math.ceil(rows / ROWS_PER_FILE)))
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -27,13 +27,15 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Rows (node, component) of every node of the edges (a, b): the smallest node reachable.
 
     Each turn is two star contractions, written to the shared folder; turns grow with the logarithm of the longest
-    path. The edges of hot nodes are cut into slices. No edges give no rows. Loops (a, a) are ignored.
+    path; each writes as many files as its rows ask for. The edges of hot nodes are cut into slices. No edges give no rows. Loops (a, a) are ignored.
     """
-    now = stored(edges.filter("a <> b").select("a", "b").distinct(), label)
+    now = stored(edges.filter("a <> b").select("a", "b").distinct(), label, edges.count())
     state = None
     while True:
-        wide = stored(_star(now, True, now.count()), label)
-        now = stored(_star(wide, False, wide.count()), label)
+        total = now.count()
+        wide = stored(_star(now, True, total), label, 2 * total)
+        total = wide.count()
+        now = stored(_star(wide, False, total), label, 2 * total)
         seen = now.agg(F.count("*"), F.sum("b"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if tuple(seen) == state:
             break

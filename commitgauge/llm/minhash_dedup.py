@@ -143,9 +143,10 @@ def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) ->
 
     sa = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa"))
     sb = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
-    met = hot_join(pairs, sa, "a", ["b"], _led(pairs), pairs.count())
+    total = pairs.count()
+    met = hot_join(pairs, sa, "a", ["b"], _led(pairs), total)
     kept = met.join(sb.hint("merge"), "b").mapInPandas(prune, "a long, b long")
-    return stored(kept.distinct(), "dedup-likely")
+    return stored(kept.distinct(), "dedup-likely", total)
 
 
 def reaches(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
@@ -257,21 +258,23 @@ def near_duplicates(
     copies = nodes.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *alike)
     copies = stored(copies, "dedup-nodes")
     sigs = copies.drop("key", "n")
+    n_bands = BANDS * sigs.count()
 
     bands = sigs.select("doc_id", F.explode("bands").alias("key"))
     hubs = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    hubs = stored(hubs, "dedup-hubs")
-    met = hot_join(bands, hubs.drop("n"), "key", ["doc_id"], hubs, BANDS * sigs.count()).filter("doc_id <> hub")
-    pairs = stored(met.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "dedup-pairs")
+    hubs = stored(hubs, "dedup-hubs", n_bands)
+    met = hot_join(bands, hubs.drop("n"), "key", ["doc_id"], hubs, n_bands).filter("doc_id <> hub")
+    pairs = stored(met.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "dedup-pairs", n_bands)
     met = pairs.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = base.filter("text is not null").join(wanted.hint("merge"), "doc_id", "left_semi")
     texts = stored(texts, "dedup-texts")
     likely = _likely(pairs, sigs, threshold, miss)
-    links = stored(_confirmed(likely, texts, width, threshold), "dedup-links")
-    labels = stored(components(links, "dedup-components"), "dedup-labels")
-    links = stored(links.union(_across(met, labels, sigs, texts, width, threshold, miss)), "dedup-links")
-    labels = stored(components(links, "dedup-components"), "dedup-labels")
+    links = stored(_confirmed(likely, texts, width, threshold), "dedup-links", likely.count())
+    labels = stored(components(links, "dedup-components"), "dedup-labels", 2 * links.count())
+    across = _across(met, labels, sigs, texts, width, threshold, miss)
+    links = stored(links.union(across), "dedup-links", pairs.count())
+    labels = stored(components(links, "dedup-components"), "dedup-labels", 2 * links.count())
 
     classes = copies.select("key", F.col("doc_id").alias("node")).join(labels.hint("merge"), "node", "left")
     classes = classes.select("key", F.coalesce("component", "node").alias("class"))
